@@ -10,10 +10,13 @@ from tidewatch.sources.signals import BUCKET_NAMES
 
 
 def write_signals(signals: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Signals as parquet, one folder per month so that a time range reads only its months."""
-    signals.withColumn("month", F.date_format("ts", "yyyy-MM")).write.mode(mode).partitionBy(
-        "month"
-    ).parquet(path)
+    """Signals as parquet, one folder per UTC day.
+
+    The rebalance lets AQE give every day files of a good size; the day folders let the
+    search around events read only the days it needs (dynamic partition pruning).
+    """
+    by_day = signals.withColumn("day", F.to_date("ts")).hint("rebalance", "day")
+    by_day.write.mode(mode).partitionBy("day").parquet(path)
 
 
 def signal_text(packed: DataFrame, points: str = "points") -> DataFrame:

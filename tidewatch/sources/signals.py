@@ -16,8 +16,8 @@ SPIKE_SCHEMA = T.StructType(
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet signals ``(topic, ts, views, signal)``."""
-    return spark.read.parquet(path).select("topic", "ts", "views", "signal")
+    """Parquet signals ``(topic, ts, views, signal)`` with their folder column ``day``."""
+    return spark.read.parquet(path).select("topic", "ts", "views", "signal", "day")
 
 
 def parse_signal_text(lines: DataFrame, line: str = "value") -> DataFrame:
