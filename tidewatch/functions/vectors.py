@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ EMPTY_LEVEL = 0.00001
 EMPTY_WEIGHT = 0.001
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once.
+
+    Inside an array function a plain expression is worked out again for every item; passing
+    it through a one-item array turns it into a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -33,9 +44,12 @@ def baseline_level(values: Column, params: TemplateParams) -> Column:
 
 
 def unit_normalise(values: Column, params: TemplateParams) -> Column:
-    level = baseline_level(values, params)
-    # Divide through a one-item array: the level is worked out once, not once per item.
-    return F.flatten(F.transform(F.array(level), lambda lv: F.transform(values, lambda v: v / lv)))
+    def divided(v: Column) -> Column:
+        return let(
+            baseline_level(v, params), lambda level: F.transform(v, lambda item: item / level)
+        )
+
+    return let(values, divided)
 
 
 def log_scale(values: Column) -> Column:
@@ -47,26 +61,33 @@ def smooth(values: Column, width: int) -> Column:
     if width <= 1:
         return values
 
-    def trailing(_: Column, i: Column) -> Column:
-        n = F.least(i + 1, F.lit(width))
-        return total(F.slice(values, i - n + 2, n)) / n
+    def smoothed(v: Column) -> Column:
+        def trailing(_: Column, i: Column) -> Column:
+            n = F.least(i + 1, F.lit(width))
+            return total(F.slice(v, i - n + 2, n)) / n
+
+        return F.transform(v, trailing)
 
-    return F.transform(values, trailing)
+    return let(values, smoothed)
 
 
 def spike_normalise(values: Column, alpha: float) -> Column:
     """``|x[i] - x[i-1]| ** alpha``, the item before the first counting as 0."""
 
-    def step(v: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(values, i - 1)).otherwise(F.lit(0.0))
-        return F.pow(F.abs(v - before), F.lit(alpha))
+    def changes(v: Column) -> Column:
+        def step(item: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(v, i - 1)).otherwise(F.lit(0.0))
+            return F.pow(F.abs(item - before), F.lit(alpha))
 
-    return F.transform(values, step)
+        return F.transform(v, step)
+
+    return let(values, changes)
 
 
 def keep_last(values: Column, length: int) -> Column:
-    n = F.least(F.size(values), F.lit(length))
-    return F.slice(values, F.size(values) - n + 1, n)
+    return let(
+        values, lambda v: F.slice(v, F.greatest(F.size(v) - length, F.lit(0)) + 1, F.lit(length))
+    )
 
 
 def transform_series(values: Column, params: TemplateParams) -> Column:
@@ -87,12 +108,19 @@ def nearest_slice_weight(reference: Column, test: Column, params: TemplateParams
 
     A reference shorter than the test series has no slice and weighs 0.
     """
-    length = params.series_length
-    starts = F.sequence(F.lit(1), F.greatest(F.size(reference) - length + 1, F.lit(1)))
-    nearest = F.array_min(
-        F.transform(starts, lambda s: l1_distance(F.slice(reference, s, F.lit(length)), test))
-    )
-    return F.when(F.size(reference) < length, F.lit(0.0)).otherwise(F.exp(-nearest * params.decay))
+    n = params.series_length
+
+    def nearest(ref: Column, x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ref) - n + 1, F.lit(1)))
+        return F.array_min(
+            F.transform(starts, lambda s: l1_distance(F.slice(ref, s, F.lit(n)), x))
+        )
+
+    def weight(ref: Column) -> Column:
+        found = F.exp(-let(test, lambda x: nearest(ref, x)) * params.decay)
+        return F.when(F.size(ref) < n, F.lit(0.0)).otherwise(found)
+
+    return let(reference, weight)
 
 
 def weight_ratio(trending: Column, other: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.sizing import BROADCAST_ROWS, broadcast_checked
 from tidewatch.params import EventParams
 from tidewatch.sources.signals import BUCKET_NAMES
 
@@ -31,22 +30,20 @@ def event_buckets(events: DataFrame) -> DataFrame:
 
 
 def window_points(
-    signals: DataFrame,
-    events: DataFrame,
-    params: EventParams = EventParams(),
-    broadcast_rows: int = BROADCAST_ROWS,
+    signals: DataFrame, events: DataFrame, params: EventParams = EventParams()
 ) -> DataFrame:
     """Points of the signals in each event's day buckets, with ``event_ts`` and ``bucket``.
 
     A range join written as an equi-join on the UTC day with the exact bounds as residual.
-    The signals stay where they are while the calendar passes the broadcast check, and keep
-    their partitioning by topic. Signals stored in day folders are pruned to the days needed.
+    No side is forced: Spark broadcasts the calendar while its size stays below the broadcast
+    threshold, and the signals then keep their place and their partitioning by topic. A larger
+    calendar is sort-merge joined, with AQE splitting crowded days. Signals stored in day
+    folders are pruned to the days needed.
     """
     by_day = signals if "day" in signals.columns else signals.withColumn("day", F.to_date("ts"))
     upper = F.col("ts") <= F.col("hi") if params.closed == "both" else F.col("ts") < F.col("hi")
-    buckets = broadcast_checked(event_buckets(events), broadcast_rows)
     return (
-        by_day.join(buckets, "day")
+        by_day.join(event_buckets(events), "day")
         .where((F.col("ts") >= F.col("lo")) & upper)
         .drop("day", "lo", "hi")
     )
@@ -73,12 +70,9 @@ def event_windows(points: DataFrame) -> DataFrame:
 
 
 def find_spikes(
-    signals: DataFrame,
-    events: DataFrame,
-    params: EventParams = EventParams(),
-    broadcast_rows: int = BROADCAST_ROWS,
+    signals: DataFrame, events: DataFrame, params: EventParams = EventParams()
 ) -> DataFrame:
     """Event windows with a peak and at least ``views_threshold`` views per point."""
-    windows = event_windows(window_points(signals, events, params, broadcast_rows))
+    windows = event_windows(window_points(signals, events, params))
     busy = F.col("total_views") / F.col("points") >= params.views_threshold
     return windows.where(F.col("has_peak") & busy).drop("points", "has_peak")

@@ -66,9 +66,15 @@ def event_totals(summary: DataFrame) -> DataFrame:
     )
 
 
-def largest_event(totals: DataFrame) -> DataFrame:
-    """One row: the largest number of spikes and of views of any event."""
-    return totals.agg(F.max("spikes").alias("max_spikes"), F.max("views").alias("max_views"))
+def with_largest(totals: DataFrame) -> DataFrame:
+    """Totals with the largest number of spikes and of views of any event.
+
+    The window is a single one, over rows already summed to one per event day.
+    """
+    everything = Window.partitionBy(F.lit(0))
+    return totals.withColumn("max_spikes", F.max("spikes").over(everything)).withColumn(
+        "max_views", F.max("views").over(everything)
+    )
 
 
 def party_class(only_democrats: Column, only_republicans: Column) -> Column:
@@ -101,22 +107,18 @@ def event_bubbles(calendar: DataFrame, summary: DataFrame) -> DataFrame:
 
     Dates without a spike stay, with zeros. Both sides of the join have one row per event.
     """
-    totals = event_totals(summary)
-    largest = largest_event(totals)
-    max_spikes = largest.select("max_spikes").scalar()
-    max_views = largest.select("max_views").scalar()
-    joined = calendar_dates(calendar).join(totals, "event_ts", "left").fillna(0, ["spikes", "views"])
+    totals = with_largest(event_totals(summary))
+    joined = calendar_dates(calendar).join(totals, "event_ts", "left")
 
-    def scaled(value: str, most: Column, base: int, reach: int) -> Column:
-        share = F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.col(value) / most)
-        return F.lit(base) + share * reach
+    def scaled(value: str, most: str, base: int, reach: int) -> Column:
+        return F.lit(base) + F.try_divide(F.col(value), F.col(most)) * reach
 
     return joined.select(
         "event_ts",
-        "spikes",
-        "views",
-        scaled("spikes", max_spikes, COUNT_BASE, COUNT_RANGE).alias("y"),
-        scaled("views", max_views, VIEWS_BASE, VIEWS_RANGE).alias("z"),
+        F.coalesce("spikes", F.lit(0)).alias("spikes"),
+        F.coalesce("views", F.lit(0.0)).alias("views"),
+        F.coalesce(scaled("spikes", "max_spikes", COUNT_BASE, COUNT_RANGE), F.lit(COUNT_BASE)).alias("y"),
+        F.coalesce(scaled("views", "max_views", VIEWS_BASE, VIEWS_RANGE), F.lit(VIEWS_BASE)).alias("z"),
         "tooltip",
         "party_class",
     )

@@ -9,8 +9,7 @@ numpy on Arrow batches: no pair of window and reference ever becomes a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,9 +20,10 @@ from tidewatch.functions import vectors
 from tidewatch.operators.series import pack, values
 from tidewatch.params import TemplateParams
 
-# References compared in one pass. The library is a hand-labelled set; this many series of
-# the default length are 12 MB.
-REFERENCES_PER_PASS = 10_000
+# Largest library that travels to the tasks whole: 12 MB at the default length.
+REFERENCES_IN_MEMORY = 10_000
+_CHUNK = 256
+_SALTS = 64
 _WINDOWS_AT_ONCE = 2_048
 
 
@@ -42,7 +42,7 @@ def _prepared_windows(x: np.ndarray, params: TemplateParams) -> np.ndarray:
     return w[:, length - params.series_length :]
 
 
-def _weights(tests: np.ndarray, references: list[np.ndarray], params: TemplateParams) -> np.ndarray:
+def _weights(tests: np.ndarray, references: Sequence, params: TemplateParams) -> np.ndarray:
     """Summed weight of the references for each test series."""
     n = params.series_length
     weight = np.zeros(len(tests))
@@ -56,7 +56,7 @@ def _weights(tests: np.ndarray, references: list[np.ndarray], params: TemplatePa
 
 
 def _score_series(
-    x: np.ndarray, trending: list[np.ndarray], others: list[np.ndarray], params: TemplateParams
+    x: np.ndarray, trending: Sequence, others: Sequence, params: TemplateParams
 ) -> np.ndarray:
     """Weights of one series, shape ``(hours, 2)``; zero until the window has filled."""
     weights = np.zeros((len(x), 2))
@@ -71,25 +71,8 @@ def _score_series(
     return weights
 
 
-def _weight_columns(series: Column, library: list, params: TemplateParams) -> Column:
-    trending = [np.array(r.series, dtype=float) for r in library if r.trending]
-    others = [np.array(r.series, dtype=float) for r in library if not r.trending]
-
-    @F.pandas_udf("array<double>")
-    def flat_weights(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(
-                lambda x: _score_series(np.asarray(x, dtype=float), trending, others, params).ravel()
-            )
-
-    return flat_weights(series)
-
-
-def _one_pass(series: DataFrame, references: DataFrame, params: TemplateParams) -> DataFrame:
-    """``(topic, ts, views, trend_weight, other_weight)`` against a library of checked size."""
-    library = references.select("trending", "series").collect()
-    packed = pack(series)
-    flat = _weight_columns(values("points"), library, params)
+def _spread_weights(packed: DataFrame, flat: Column) -> DataFrame:
+    """One row per topic and hour from packed points and their flat list of weight pairs."""
     rows = packed.withColumn("_w", flat).select("topic", F.posexplode("points").alias("_i", "p"), "_w")
     return rows.select(
         "topic",
@@ -100,26 +83,54 @@ def _one_pass(series: DataFrame, references: DataFrame, params: TemplateParams)
     )
 
 
-def template_weights(
-    series: DataFrame,
-    references: DataFrame,
-    params: TemplateParams = TemplateParams(),
-    per_pass: int = REFERENCES_PER_PASS,
+def _against_list(series: DataFrame, library: list, params: TemplateParams) -> DataFrame:
+    trending = [np.array(r.series, dtype=float) for r in library if r.trending]
+    others = [np.array(r.series, dtype=float) for r in library if not r.trending]
+
+    @F.pandas_udf("array<double>")
+    def flat_weights(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: _score_series(x, trending, others, params).ravel())
+
+    return _spread_weights(pack(series), flat_weights(values("points")))
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
+def _against_table(
+    series: DataFrame, references: DataFrame, params: TemplateParams, per_chunk: int
 ) -> DataFrame:
-    """Weights of trending and other references per topic and hour.
+    """The same weights by a join with chunks of the library, whatever its size.
 
-    The library travels to the tasks whole while it has at most ``per_pass`` series. A larger
-    one is cut by a hash of its ids into parts of about that size; the weights of the parts
-    add up, so the result is the same.
+    A hash of the ids deals the references into chunks of bounded size. Each topic meets each
+    chunk once and keeps two sums per hour; the sums of the chunks add up. Topics are spread
+    over ``_SALTS`` copies of each chunk, so that no chunk is one hot key.
     """
-    count = references.limit(per_pass + 1).count()
-    if count <= per_pass:
-        return _one_pass(series, references, params)
-    parts = 2 * (-(-references.count() // per_pass))
-    part = F.pmod(F.xxhash64("ref_id"), F.lit(parts))
-    passes = [_one_pass(series, references.where(part == i), params) for i in range(parts)]
+    chunks = -(-references.count() // per_chunk)
+
+    def members(trending: bool) -> Column:
+        return F.collect_list(F.when(F.col("trending") == trending, F.col("series")))
+
+    library = (
+        references.groupBy(F.pmod(F.xxhash64("ref_id"), F.lit(chunks)).alias("_chunk"))
+        .agg(members(True).alias("_trending"), members(False).alias("_others"))
+        .withColumn("_salt", F.explode(_numbers(_SALTS)))
+    )
+    packed = (
+        pack(series)
+        .withColumn("_chunk", F.explode(_numbers(chunks)))
+        .withColumn("_salt", F.pmod(F.xxhash64("topic"), F.lit(_SALTS)))
+    )
+
+    @F.pandas_udf("array<double>")
+    def flat_weights(xs: pd.Series, trending: pd.Series, others: pd.Series) -> pd.Series:
+        scored = [_score_series(*row, params).ravel() for row in zip(xs, trending, others)]
+        return pd.Series(scored, dtype=object)
+
+    flat = flat_weights(values("points"), F.col("_trending"), F.col("_others"))
     return (
-        reduce(DataFrame.unionByName, passes)
+        _spread_weights(packed.join(library, ["_chunk", "_salt"]), flat)
         .groupBy("topic", "ts")
         .agg(
             F.first("views").alias("views"),
@@ -129,13 +140,30 @@ def template_weights(
     )
 
 
+def template_weights(
+    series: DataFrame,
+    references: DataFrame,
+    params: TemplateParams = TemplateParams(),
+    in_memory: int = REFERENCES_IN_MEMORY,
+) -> DataFrame:
+    """Weights of trending and other references per topic and hour.
+
+    A library of at most ``in_memory`` series travels to the tasks whole; the check reads no
+    further than that. A larger one is joined chunk by chunk, with the same result.
+    """
+    library = references.select("trending", "series").limit(in_memory + 1).collect()
+    if len(library) <= in_memory:
+        return _against_list(series, library, params)
+    return _against_table(series, references, params, min(in_memory, _CHUNK))
+
+
 def template_scores(
     series: DataFrame,
     references: DataFrame,
     params: TemplateParams = TemplateParams(),
-    per_pass: int = REFERENCES_PER_PASS,
+    in_memory: int = REFERENCES_IN_MEMORY,
 ) -> DataFrame:
     """``(topic, ts, views, signal)`` with the ratio of the two weights as signal."""
-    weights = template_weights(series, references, params, per_pass)
+    weights = template_weights(series, references, params, in_memory)
     ratio = vectors.weight_ratio(F.col("trend_weight"), F.col("other_weight"))
     return weights.select("topic", "ts", "views", ratio.alias("signal"))

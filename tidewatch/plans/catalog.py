@@ -22,6 +22,7 @@ from tidewatch.operators import (
 from tidewatch.params import PeakParams
 from tidewatch.plans import inputs
 from tidewatch.plans.inputs import ms, table
+from tidewatch.plans.staging import staged
 from tidewatch.sinks import files
 from tidewatch.sources import calendar, pageviews, references, signals
 from tidewatch.sources import polls as poll_source
@@ -81,14 +82,12 @@ def keyword_lines(spark, folder):
 
 @query
 def keyword_page_hours(spark, folder):
-    points = cleaning.keyword_points(inputs.page_lines(spark, folder), PAGE_KEYWORDS)
-    return series.page_hours(points).select("title", ms("ts").alias("ts_ms"), "views")
+    return _page_hours(spark, folder).select("title", ms("ts").alias("ts_ms"), "views")
 
 
 @query
 def page_totals(spark, folder):
-    hours = series.page_hours(cleaning.keyword_points(inputs.page_lines(spark, folder), PAGE_KEYWORDS))
-    return series.page_totals(hours)
+    return series.page_totals(_page_hours(spark, folder))
 
 
 @query
@@ -344,7 +343,7 @@ def top_pages(spark, folder):
 
 
 def _matrix(spark, folder):
-    hours = _page_hours(spark, folder)
+    hours = staged(_page_hours(spark, folder), "page-hours")
     pages = topk.page_names(hours)
     return topk.page_matrix(hours, pages), pages
 

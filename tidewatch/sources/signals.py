@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,25 +26,19 @@ def parse_signal_text(lines: DataFrame, line: str = "value") -> DataFrame:
     Numbers keep their exponents and topics their commas. Records without a point disappear.
     """
     text = F.col(line)
-    # The list starts at the last "[": numbers hold none, topics may.
-    series = F.substring_index(text, ",[", -1)
-    topic = F.substr(text, F.lit(2), F.length(text) - F.length(series) - 3)
-    triple = F.lit(r"\((-?\d+),([^,()]+),([^,()]+)\)")
-
-    def field(i: int) -> Column:
-        return F.regexp_extract_all(series, triple, i)
-
-    points = F.arrays_zip(field(1).alias("ms"), field(2).alias("v"), field(3).alias("s"))
-    return (
-        lines.select(topic.alias("topic"), F.explode(points).alias("p"))
-        .select(
-            "topic",
-            F.timestamp_millis(F.col("p.ms").cast("bigint")).alias("ts"),
-            F.col("p.v").try_cast("double").alias("views"),
-            F.col("p.s").try_cast("double").alias("signal"),
-        )
-        .where(F.col("views").isNotNull() & F.col("signal").isNotNull())
+    # The list starts at the last ",[": numbers hold none, topics may.
+    split = lines.select(text.alias("_t"), F.substring_index(text, ",[", -1).alias("_series"))
+    topic = F.substr("_t", F.lit(2), F.length("_t") - F.length("_series") - 3)
+    triples = F.regexp_extract_all("_series", F.lit(r"\(([^()]+)\)"), 1)
+    fields = split.select(topic.alias("topic"), F.explode(triples).alias("_p")).select(
+        "topic", F.split("_p", ",").alias("_f")
     )
+    return fields.where(F.size("_f") == 3).select(
+        "topic",
+        F.timestamp_millis(F.get("_f", F.lit(0)).try_cast("bigint")).alias("ts"),
+        F.get("_f", F.lit(1)).try_cast("double").alias("views"),
+        F.get("_f", F.lit(2)).try_cast("double").alias("signal"),
+    ).where(F.col("ts").isNotNull() & F.col("views").isNotNull() & F.col("signal").isNotNull())
 
 
 def read_signal_text(spark: SparkSession, path: str) -> DataFrame:
