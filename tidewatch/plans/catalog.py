@@ -23,10 +23,12 @@ from tidewatch.params import PeakParams
 from tidewatch.plans import inputs
 from tidewatch.plans.inputs import ms, table
 from tidewatch.plans.staging import staged
+from tidewatch.session import shared_folder
 from tidewatch.sinks import files
 from tidewatch.sources import calendar, pageviews, references, signals
 from tidewatch.sources import polls as poll_source
 from tidewatch.sources.signals import BUCKET_NAMES
+from tidewatch.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +37,7 @@ WIDTH = 24
 PAGE_KEYWORDS = ("click_1", "view", "purchase_9")
 TEXT_KEYWORDS = ("password", "copyright", "the and", "email")
 CROWDED, SHOWN = 20, 5
+LIVE_DELAY = "2 hours"
 
 
 def query(fn: Query) -> Query:
@@ -186,6 +189,24 @@ def topic_chart(spark, folder):
     return chart.select("id", "views", "signal", ms("time").alias("time_ms"))
 
 
+@query
+def live_peak_signal(spark, folder):
+    """The signal from a stream of the events; only hours the watermark has closed come out."""
+    stream = (
+        spark.readStream.schema(table(spark, folder, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(folder)
+    )
+    points = stream.select(
+        F.col("event_type").alias("topic"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("value").cast("decimal(18,2)").alias("views"),
+    )
+    folder = shared_folder(spark, "live-peaks")
+    found = live.update_signals(points, folder, inputs.PEAKS, LIVE_DELAY)
+    return _rows(found, "views", "signal")
+
+
 # Events ------------------------------------------------------------------------------------
 
 
