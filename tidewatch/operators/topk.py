@@ -17,10 +17,16 @@ def top_pages(hours: DataFrame, k: int = TOP_PAGES) -> DataFrame:
 
 
 def page_names(hours: DataFrame, k: int = TOP_PAGES) -> list[str]:
-    """Titles of the top pages, most viewed first: the ``k`` column names of a matrix."""
+    """Titles of the top pages, most viewed first: the ``k`` columns of a matrix."""
     return [row.title for row in top_pages(hours, k).select("title").collect()]
 
 
+def matrix_columns(pages: list[str]) -> list[str]:
+    """Column names of a matrix. Titles may hold dots or differ in case only, so they are no
+    column names."""
+    return [f"page_{rank:02d}" for rank in range(1, len(pages) + 1)]
+
+
 def page_matrix(hours: DataFrame, pages: list[str], spine: DataFrame | None = None) -> DataFrame:
     """One row per hour and one column per page; hours and pages without views hold 0.
 
@@ -28,6 +34,9 @@ def page_matrix(hours: DataFrame, pages: list[str], spine: DataFrame | None = No
     rows of other pages are filtered out before the shuffle.
     """
     every_hour = hour_spine(hours) if spine is None else spine
-    picked = hours.where(F.col("title").isin(pages))
-    wide = picked.groupBy("ts").pivot("title", pages).agg(F.sum("views"))
-    return every_hour.join(wide, "ts", "left").fillna(0, pages)
+    ranks = range(1, len(pages) + 1)
+    rank = F.array_position(F.array(*map(F.lit, pages)), F.col("title"))
+    picked = hours.where(F.col("title").isin(pages)).withColumn("_rank", rank)
+    wide = picked.groupBy("ts").pivot("_rank", list(ranks)).agg(F.sum("views"))
+    wide = wide.toDF("ts", *matrix_columns(pages))
+    return every_hour.join(wide, "ts", "left").fillna(0, matrix_columns(pages))

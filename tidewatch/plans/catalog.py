@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import clock, text, vectors
+from tidewatch.functions import text, vectors
 from tidewatch.operators import (
     cleaning,
     events,
@@ -365,28 +365,24 @@ def top_pages(spark, folder):
 
 def _matrix(spark, folder):
     hours = staged(_page_hours(spark, folder), "page-hours")
-    pages = topk.page_names(hours)
-    return topk.page_matrix(hours, pages), pages
+    return topk.page_matrix(hours, topk.page_names(hours))
 
 
 @query
 def page_matrix(spark, folder):
-    """Columns by rank, so that the schema does not depend on the data."""
-    matrix, pages = _matrix(spark, folder)
-    pages = pages + [None] * (topk.TOP_PAGES - len(pages))
-    ranked = [
-        (F.lit(0) if p is None else F.col(f"`{p}`")).cast("bigint").alias(f"page_{i:02d}")
-        for i, p in enumerate(pages, start=1)
+    """Always ``TOP_PAGES`` columns, so that the schema does not depend on the data."""
+    matrix = _matrix(spark, folder)
+    columns = [f"page_{rank:02d}" for rank in range(1, topk.TOP_PAGES + 1)]
+    filled = [
+        F.col(c) if c in matrix.columns else F.lit(0).cast("bigint").alias(c) for c in columns
     ]
-    return matrix.select(ms("ts").alias("ts_ms"), *ranked)
+    return matrix.select(ms("ts").alias("ts_ms"), *filled)
 
 
 @query
 def page_matrix_text(spark, folder):
     """The text rows of the matrix sink."""
-    matrix, pages = _matrix(spark, folder)
-    numbers = [F.col(f"`{p}`").cast("string") for p in pages]
-    return matrix.select(F.concat_ws(" ", clock.chart_date(F.col("ts")), *numbers).alias("row"))
+    return files.matrix_text(_matrix(spark, folder)).select(F.col("value").alias("row"))
 
 
 # Reference series and scores ---------------------------------------------------------------

@@ -122,7 +122,8 @@ def page_matrix(
     hours = staged(series.page_hours(cleaning.keyword_points(raw, keywords)), "page-hours")
     span = spark.range(1).select(F.lit(first).alias("first"), F.lit(last).alias("last"))
     spine = span.select(F.explode(clock.hours_between(F.col("first"), F.col("last"))).alias("ts"))
-    files.write_matrix(topk.page_matrix(hours, topk.page_names(hours), spine), target)
+    pages = topk.page_names(hours)
+    files.write_matrix(topk.page_matrix(hours, pages, spine), pages, target)
 
 
 def topic_chart(spark: SparkSession, source: str, topic: str, target: str) -> None:

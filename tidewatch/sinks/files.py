@@ -58,13 +58,19 @@ def write_spikes(spikes: DataFrame, path: str, single_file: bool = True) -> None
     (lines.repartition(1) if single_file else lines).write.text(path)
 
 
-def write_matrix(matrix: DataFrame, path: str) -> None:
-    """Hour x page matrix: space separated, one row per hour, ``Date(...)`` first."""
-    pages = [c for c in matrix.columns if c != "ts"]
-    rows = matrix.repartition(1).sortWithinPartitions("ts")
-    rows.select(
-        clock.chart_date(F.col("ts")).alias("Date"), *[F.col(f"`{p}`") for p in pages]
-    ).write.csv(path, sep=" ", header=True)
+def matrix_text(matrix: DataFrame) -> DataFrame:
+    """``(ts, value)``: the text row of each hour, ``Date(...)`` and the numbers by spaces."""
+    numbers = [F.col(c).cast("string") for c in matrix.columns if c != "ts"]
+    return matrix.select("ts", F.concat_ws(" ", clock.chart_date(F.col("ts")), *numbers).alias("value"))
+
+
+def write_matrix(matrix: DataFrame, pages: list[str], path: str) -> None:
+    """Hour x page matrix as one text file: a header with the titles, then a row per hour."""
+    header = matrix.sparkSession.range(1).select(
+        F.lit(None).cast("timestamp").alias("ts"), F.lit(" ".join(["Date", *pages])).alias("value")
+    )
+    lines = header.unionByName(matrix_text(matrix)).repartition(1)
+    lines.sortWithinPartitions(F.asc_nulls_first("ts")).select("value").write.text(path)
 
 
 def topic_chart(signals: DataFrame, topic: str) -> DataFrame:
