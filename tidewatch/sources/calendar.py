@@ -26,10 +26,16 @@ EVENT_DATES = """
 
 
 def event_times(dates: DataFrame, params: EventParams = EventParams()) -> DataFrame:
-    """``(event_date, event_ts)`` from a text column ``value``; unreadable rows are left out."""
+    """``(event_date, event_ts)`` from a text column ``value``; unreadable rows are left out.
+
+    The filter on the text is also what lets Spark prune day folders of stored signals: it
+    does so only from a filtered side of a join.
+    """
+    looks_right = F.trim("value").rlike(r"^\d{4}-\d{2}-\d{2}$")
     date = F.try_to_date(F.trim("value"), "yyyy-MM-dd")
     return (
-        dates.select(date.alias("event_date"))
+        dates.where(looks_right)
+        .select(date.alias("event_date"))
         .where(F.col("event_date").isNotNull())
         .withColumn("event_ts", clock.local_midnight(F.col("event_date"), params.zone))
     )
