@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.params import EventParams
@@ -14,19 +14,14 @@ BUCKET_HOURS = ((-48, -24), (-24, 0), (0, 24), (24, 48), (48, 72))
 
 def event_buckets(events: DataFrame) -> DataFrame:
     """``(event_ts, bucket, lo, hi, day)``: the day buckets, one row per UTC day they touch."""
-    spans = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("bucket"),
-                (F.col("event_ts") + F.expr(f"interval {lo} hours")).alias("lo"),
-                (F.col("event_ts") + F.expr(f"interval {hi} hours")).alias("hi"),
-            )
-            for i, (lo, hi) in enumerate(BUCKET_HOURS)
-        ]
+    rows = ", ".join(
+        f"{i}, event_ts + interval {lo} hours, event_ts + interval {hi} hours"
+        for i, (lo, hi) in enumerate(BUCKET_HOURS)
     )
-    buckets = events.select("event_ts", F.explode(spans).alias("b")).select("event_ts", "b.*")
-    days = F.sequence(F.to_date("lo"), F.to_date("hi"))
-    return buckets.withColumn("day", F.explode(days))
+    buckets = events.selectExpr(
+        "event_ts", f"stack({len(BUCKET_HOURS)}, {rows}) AS (bucket, lo, hi)"
+    )
+    return buckets.withColumn("day", F.expr("explode(sequence(date(lo), date(hi)))"))
 
 
 def window_points(
@@ -40,13 +35,9 @@ def window_points(
     calendar is sort-merge joined, with AQE splitting crowded days. Signals stored in day
     folders are pruned to the days needed.
     """
-    by_day = signals if "day" in signals.columns else signals.withColumn("day", F.to_date("ts"))
-    upper = F.col("ts") <= F.col("hi") if params.closed == "both" else F.col("ts") < F.col("hi")
-    return (
-        by_day.join(event_buckets(events), "day")
-        .where((F.col("ts") >= F.col("lo")) & upper)
-        .drop("day", "lo", "hi")
-    )
+    by_day = signals if "day" in signals.columns else signals.selectExpr("*", "date(ts) AS day")
+    inside = "ts >= lo AND ts <= hi" if params.closed == "both" else "ts >= lo AND ts < hi"
+    return by_day.join(event_buckets(events), "day").where(inside).drop("day", "lo", "hi")
 
 
 def event_windows(points: DataFrame) -> DataFrame:
@@ -56,17 +47,16 @@ def event_windows(points: DataFrame) -> DataFrame:
     empty array.
     """
     grouped = points.groupBy("topic", "event_ts").agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "ts", "views"))).alias("_p"),
-        F.sum("views").alias("total_views"),
-        F.count("*").alias("points"),
-        F.bool_or(F.col("signal") > 0).alias("has_peak"),
+        F.expr("sort_array(collect_list(struct(bucket, ts, views))) AS _p"),
+        F.expr("sum(views) AS total_views"),
+        F.expr("count(*) AS points"),
+        F.expr("bool_or(signal > 0) AS has_peak"),
     )
-
-    def bucket_views(i: int) -> Column:
-        return F.transform(F.filter("_p", lambda p: p["bucket"] == i), lambda p: p["views"])
-
-    buckets = [bucket_views(i).alias(name) for i, name in enumerate(BUCKET_NAMES)]
-    return grouped.select("topic", "event_ts", *buckets, "total_views", "points", "has_peak")
+    buckets = [
+        f"transform(filter(_p, p -> p.bucket = {i}), p -> p.views) AS {name}"
+        for i, name in enumerate(BUCKET_NAMES)
+    ]
+    return grouped.selectExpr("topic", "event_ts", *buckets, "total_views", "points", "has_peak")
 
 
 def find_spikes(
@@ -74,5 +64,5 @@ def find_spikes(
 ) -> DataFrame:
     """Event windows with a peak and at least ``views_threshold`` views per point."""
     windows = event_windows(window_points(signals, events, params))
-    busy = F.col("total_views") / F.col("points") >= params.views_threshold
-    return windows.where(F.col("has_peak") & busy).drop("points", "has_peak")
+    busy = f"total_views / points >= {float(params.views_threshold)!r}D"
+    return windows.where(f"has_peak AND {busy}").drop("points", "has_peak")

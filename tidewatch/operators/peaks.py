@@ -7,11 +7,9 @@ inside the JVM: topics are shuffled once, then folded in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidewatch.functions.vectors import total
-from tidewatch.operators.series import pack, values
+from tidewatch.operators.series import pack
 from tidewatch.params import PeakParams
 
 # The fold keeps its 0/1 decisions as the bits of a list of longs: appending each one to an
@@ -19,76 +17,55 @@ from tidewatch.params import PeakParams
 _BITS = 62
 
 
-def _fold(x: Column, mean: Column, std: Column, params: PeakParams) -> Column:
-    """Decisions for the rows after the first ``win_length``, as an array of longs."""
-    f = params.influence
-
-    def advance(acc: Column, mean: Column, std: Column, bit: int) -> Column:
-        full = acc["n"] == _BITS - 1
-        word = acc["word"] * 2 + bit
-        return F.struct(
-            mean.alias("mean"),
-            std.alias("std"),
-            F.when(full, F.lit(0)).otherwise(acc["n"] + 1).alias("n"),
-            F.when(full, F.lit(0).cast("bigint")).otherwise(word).alias("word"),
-            F.when(full, F.array_append(acc["words"], word)).otherwise(acc["words"]).alias("words"),
-        )
-
-    def step(acc: Column, v: Column) -> Column:
-        away = F.abs(v - acc["mean"])
-        peak = advance(acc, acc["mean"] + v * f / (1 + f), acc["std"] + away * f / (1 + f), 1)
-        calm = advance(acc, (acc["mean"] + v) / 2, (acc["std"] + away) / 2, 0)
-        return F.when(v > acc["mean"] + acc["std"] * params.diff, peak).otherwise(calm)
-
-    start = F.struct(
-        mean.alias("mean"),
-        std.alias("std"),
-        F.lit(0).alias("n"),
-        F.lit(0).cast("bigint").alias("word"),
-        F.array().cast("array<bigint>").alias("words"),
-    )
-    # Pad the last word, so that bit i of the series is always at the same place.
-    padded = lambda acc: F.array_append(
-        acc["words"], F.call_function("shiftleft", acc["word"], _BITS - acc["n"])
-    )
-    return F.aggregate(x, start, step, padded)
-
-
-def _decisions(packed: DataFrame, params: PeakParams) -> DataFrame:
-    """Packed series longer than the window, with the bits of their decisions."""
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` worked out once per row instead of wherever it is used."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _fold(x: str, params: PeakParams) -> str:
+    """Decisions of the rows of ``x`` as an array of longs, from a baseline ``mean``, ``std``."""
+    f = f"{float(params.influence)!r}D"
+
+    def state(mean: str, std: str, bit: int) -> str:
+        word = f"acc.word * 2 + {bit}"
+        full = f"acc.n = {_BITS - 1}"
+        return f"""named_struct(
+            'mean', {mean}, 'std', {std}, 'n', if({full}, 0, acc.n + 1),
+            'word', if({full}, 0L, {word}),
+            'words', if({full}, array_append(acc.words, {word}), acc.words))"""
+
+    away = "abs(v - acc.mean)"
+    peak = state(f"acc.mean + v * {f} / (1 + {f})", f"acc.std + {away} * {f} / (1 + {f})", 1)
+    calm = state("(acc.mean + v) / 2", f"(acc.std + {away}) / 2", 0)
+    # The last word is padded, so that the bit of a row is always at the same place.
+    return f"""aggregate(
+        {x},
+        named_struct('mean', mean, 'std', std, 'n', 0, 'word', 0L,
+                     'words', cast(array() AS array<bigint>)),
+        (acc, v) -> if(v > acc.mean + acc.std * {float(params.diff)!r}D, {peak}, {calm}),
+        acc -> array_append(acc.words, shiftleft(acc.word, {_BITS} - acc.n)))"""
+
+
+def _decided(points: str, params: PeakParams) -> str:
+    """Bits of the decisions of one packed series, longer than the window."""
     k = params.win_length
-    # The first baseline covers rows 2 to k+1: the first row is out, the first judged row in.
-    return (
-        packed.where(F.size("points") > k)
-        .withColumn("_x", values("points"))
-        .withColumn("_mean", total(F.slice("_x", 2, k)) / k)
-        .withColumn(
-            "_std",
-            F.sqrt(
-                F.aggregate(
-                    F.slice("_x", 2, k),
-                    F.lit(0.0),
-                    lambda acc, v: acc + (v - F.col("_mean")) * (v - F.col("_mean")),
-                )
-            )
-            / (k - 1),
-        )
-        .withColumn(
-            "_words",
-            _fold(
-                F.slice("_x", k + 1, F.size("_x") - k), F.col("_mean"), F.col("_std"), params
-            ),
-        )
-        .drop("_x", "_mean", "_std")
-    )
-
-
-def _signal(index: Column, k: int) -> Column:
+    # The first baseline covers rows 2 to k+1: the first row is out, the first judged one in.
+    first = f"slice(x, 2, {k})"
+    mean = f"aggregate({first}, 0D, (s, v) -> s + v) / {k}"
+    std = f"sqrt(aggregate({first}, 0D, (s, v) -> s + (v - mean) * (v - mean))) / ({k} - 1)"
+    fold = _fold(f"slice(x, {k} + 1, size(x) - {k})", params)
+    return _let("x", f"transform({points}, p -> p.views)", _let("mean", mean, _let("std", std, fold)))
+
+
+def _signal(words: str, index: str, k: int) -> str:
     """Decision of the row at ``index``: 0.0 or 1.0."""
-    judged = index - k
-    word = F.get("_words", (judged / _BITS).cast("int"))
-    bit = F.call_function("shiftright", word, F.lit(_BITS - 1) - judged % _BITS) % 2
-    return F.when(judged < 0, F.lit(0.0)).otherwise(bit.cast("double"))
+    judged = f"({index} - {k})"
+    bit = f"shiftright(get({words}, int({judged} div {_BITS})), {_BITS - 1} - {judged} % {_BITS}) % 2"
+    return f"if({judged} < 0, 0D, double({bit}))"
+
+
+def _long_enough(series: DataFrame, params: PeakParams) -> DataFrame:
+    return pack(series).where(f"size(points) > {params.win_length}")
 
 
 def detect_peaks(
@@ -97,27 +74,22 @@ def detect_peaks(
     """``(topic, ts, views, signal)`` from hourly series ``(topic, ts, views)``.
 
     Topics with no more than ``win_length`` rows produce nothing. With ``peaking_only``
-    topics without a single peak are dropped before they are unpacked: they cannot produce
-    a spike, and they are the great majority.
+    topics without a single peak are not unpacked: they cannot produce a spike, and they are
+    the great majority.
     """
-    decided = _decisions(pack(series), params)
-    if peaking_only:
-        decided = decided.where(F.exists("_words", lambda w: w != 0))
-    rows = decided.select("topic", F.posexplode("points").alias("_i", "p"), "_words")
-    return rows.select(
-        "topic", "p.ts", "p.views", _signal(F.col("_i"), params.win_length).alias("signal")
-    )
+    packed = _long_enough(series, params)
+    decided = packed.selectExpr("topic", "points", f"{_decided('points', params)} AS _words")
+    # Not a filter: Spark would move it below the fold and run the fold twice.
+    points = "if(exists(_words, w -> w <> 0), points, null)" if peaking_only else "points"
+    rows = decided.selectExpr("topic", f"posexplode({points}) AS (_i, _p)", "_words")
+    signal = _signal("_words", "_i", params.win_length)
+    return rows.selectExpr("topic", "_p.ts", "_p.views", f"{signal} AS signal")
 
 
 def packed_peaks(series: DataFrame, params: PeakParams = PeakParams()) -> DataFrame:
     """One row per topic: ``points`` array of ``(ts, views, signal)``."""
-    decided = _decisions(pack(series), params)
-
-    def with_signal(p: Column, i: Column) -> Column:
-        return F.struct(
-            p["ts"].alias("ts"),
-            p["views"].alias("views"),
-            _signal(i, params.win_length).alias("signal"),
-        )
-
-    return decided.select("topic", F.transform("points", with_signal).alias("points"))
+    signal = _signal("words", "i", params.win_length)
+    rows = f"""transform(
+        points, (p, i) -> named_struct('ts', p.ts, 'views', p.views, 'signal', {signal}))"""
+    points = _let("words", _decided("points", params), rows)
+    return _long_enough(series, params).selectExpr("topic", f"{points} AS points")

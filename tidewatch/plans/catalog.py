@@ -193,7 +193,7 @@ def topic_chart(spark, folder):
 def live_peak_signal(spark, folder):
     """The signal from a stream of the events; only hours the watermark has closed come out."""
     stream = (
-        spark.readStream.schema(table(spark, folder, "events").schema)
+        spark.readStream.schema(inputs.SCHEMAS["events"])
         .option("pathGlobFilter", "events.parquet")
         .parquet(folder)
     )
