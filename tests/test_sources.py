@@ -21,6 +21,9 @@ fr Donald_Trump 100 0
 en short
 en Bad_Count x 0
 en Nan_Count NaN 0
+en Endless Infinity 0
+en Endless -Infinity 0
+en Empty_Count  0
 en  7 0
 en Comma,_Inc. 3 0
 en Main_Page 12000000 0

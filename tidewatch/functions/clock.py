@@ -20,8 +20,8 @@ def file_hour(file_name: Column) -> Column:
 
     Plain substring work instead of a regular expression: this runs once per input line.
     """
-    after = F.length(F.substring_index(file_name, ".gz", -1))
-    stamp = F.right(F.left(file_name, F.length(file_name) - after - 3), F.lit(15))
+    suffix = F.substring_index(file_name, ".gz", -1)
+    stamp = F.substr(file_name, F.length(file_name) - F.length(suffix) - 17, F.lit(15))
     ts = F.try_to_timestamp(stamp, F.lit(FILE_STAMP))
     return F.coalesce(ts, F.raise_error(F.concat(F.lit("no hour in file name: "), file_name)))
 

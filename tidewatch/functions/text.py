@@ -51,9 +51,3 @@ def file_name_of_url(url: Column) -> Column:
 def leading_number(text: Column) -> Column:
     """Numeric prefix of a text as double, null when there is none."""
     return F.regexp_extract(text, _LEADING_NUMBER, 1).try_cast("double")
-
-
-def finite_double(text: Column) -> Column:
-    """The text as a finite double; anything else, NaN and infinities included, is null."""
-    number = text.try_cast("double")
-    return F.when(F.abs(number) < F.lit(float("inf")), number)

@@ -11,6 +11,7 @@ from tidewatch.sources.signals import BUCKET_NAMES
 # An event with more spikes than the first number shows the second many.
 CROWDED_EVENT = 300
 SHOWN_WHEN_CROWDED = 50
+_PARTS = 64
 
 # Chart placement of an event, base + share of the largest event * range.
 COUNT_BASE, COUNT_RANGE = 5, 60
@@ -44,18 +45,25 @@ def top_spikes(
 ) -> DataFrame:
     """All spikes of an event, or its ``shown`` most viewed when it has over ``crowded``.
 
-    ``rank`` up to ``crowded + 1`` decides which case holds, and Spark keeps only that many
-    rows per event in each task before the shuffle, however many topics one event has.
+    A rank up to ``crowded + 1`` decides which case holds, so no more than that many spikes
+    per event are of interest. Each task drops the others before the shuffle, then each of
+    ``_PARTS`` parts of an event does: what meets in one task in the end is bounded by the
+    parts, however many spikes one event has.
     """
+    summary = summary.withColumn("_part", F.pmod(F.xxhash64("topic"), F.lit(_PARTS)))
+    part = Window.partitionBy("event_ts", "_part")
     event = Window.partitionBy("event_ts")
-    order = event.orderBy(F.desc("total_views"), F.asc("topic"))
-    ranked = summary.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= crowded + 1
-    )
+    order = (F.desc("total_views"), F.asc("topic"))
+
+    def leading(spikes: DataFrame, group) -> DataFrame:
+        ranked = spikes.withColumn("rank", F.row_number().over(group.orderBy(*order)))
+        return ranked.where(F.col("rank") <= crowded + 1)
+
     return (
-        ranked.withColumn("_most", F.max("rank").over(event))
+        leading(leading(summary, part), event)
+        .withColumn("_most", F.max("rank").over(event))
         .where((F.col("_most") <= crowded) | (F.col("rank") <= shown))
-        .drop("_most")
+        .drop("_most", "_part")
     )
 
 
