@@ -39,9 +39,10 @@ def dump(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("as_text", [False, True])
-def test_spikes_of_an_event(spark, dump, tmp_path, as_text):
-    jobs.detect_trends(spark, f"{dump}/*.gz", f"{tmp_path}/signals", PeakParams(), as_text=as_text)
+@pytest.mark.parametrize("form", [{}, {"as_text": True}, {"peaking_only": True}])
+def test_spikes_of_an_event(spark, dump, tmp_path, form):
+    as_text = "as_text" in form
+    jobs.detect_trends(spark, f"{dump}/*.gz", f"{tmp_path}/signals", PeakParams(), **form)
     jobs.extract_spikes(
         spark, f"{tmp_path}/signals", f"{tmp_path}/spikes", EventParams(300.0), from_text=as_text
     )

@@ -39,14 +39,19 @@ def detect_trends(
     keywords: Sequence[str] | None = None,
     densify: bool = False,
     as_text: bool = False,
+    peaking_only: bool = False,
 ) -> None:
-    """Hourly count files to peak signals: parquet by day, or gzip text records."""
+    """Hourly count files to peak signals: parquet by day, or gzip text records.
+
+    ``peaking_only`` leaves out the topics that never peak, the great majority: enough where
+    the signals serve to find spikes, and the search for them then has far less to read.
+    """
     found = topic_series(spark, source, keywords=keywords)
     found = series.densify(found) if densify else found
     if as_text:
         files.write_signal_text(peaks.packed_peaks(found, params), target)
     else:
-        files.write_signals(peaks.detect_peaks(found, params), target)
+        files.write_signals(peaks.detect_peaks(found, params, peaking_only), target)
 
 
 def score_trends(
@@ -91,7 +96,7 @@ def event_report(
     poll_date_format: str = "yyyy-MM-dd",
 ) -> None:
     """Report tables: ``event_bubbles``, ``event_top_topics`` and the two poll tables."""
-    summary = report.summarise_spikes(signals.read_spikes(spark, spikes))
+    summary = staged(report.summarise_spikes(signals.read_spikes(spark, spikes)), "spikes")
     dates = calendar.read_calendar(spark, calendar_file, params)
     out = target.rstrip("/")
     report.event_bubbles(dates, summary).write.mode("overwrite").parquet(f"{out}/event_bubbles")
