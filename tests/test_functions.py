@@ -25,6 +25,7 @@ def array(*items):
         ("o'reilly_factor", "O'Reilly Factor"),
         ("new_york_(state)", "New York (State)"),
         ("mcCain-palin", "McCain-Palin"),
+        ("éclair_été_x1", "éClair éTé X1"),
         ("", ""),
     ],
 )

@@ -63,6 +63,11 @@ def test_comparison_is_strict(make_series):
     assert found(peaks.detect_peaks(make_series({"a": [3.0] * 20}), PeakParams(4, 5.0)))["a"] == [0.0] * 20
 
 
+def test_nan_is_no_peak(make_series):
+    x = [1.0, 2.0, 1.0, 2.0, 1.0, math.nan, 90.0]
+    assert found(peaks.detect_peaks(make_series({"a": x}), PeakParams(3, 1.0)))["a"] == loop(x, 3, 1.0, 0.0)
+
+
 def test_gaps_shorten_the_window(make_series):
     x = [1.0, None, 2.0, None, 1.0, 50.0]
     assert found(peaks.detect_peaks(make_series({"a": x}), PeakParams(3, 1.0))) == {

@@ -35,12 +35,17 @@ def prettify_title(title: Column) -> Column:
     """Underscores become spaces and every run of word characters starts upper case.
 
     Unlike ``initcap`` this also capitalises after quotes, hyphens and brackets, and leaves
-    the other letters alone.
+    the other letters alone. Word characters are the ASCII ones; accented letters end a run.
     """
+
+    def capitalised(run: Column) -> Column:
+        first = F.left(run, F.lit(1))
+        return F.when(
+            F.rlike(first, F.lit(r"\w")), F.concat(F.upper(first), F.substr(run, F.lit(2)))
+        ).otherwise(run)
+
     runs = F.regexp_extract_all(F.translate(title, "_", " "), F.lit(r"(\w+|\W+)"), 1)
-    return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))), ""
-    )
+    return F.array_join(F.transform(runs, capitalised), "")
 
 
 def file_name_of_url(url: Column) -> Column:

@@ -37,12 +37,14 @@ def _fold(x: str, params: PeakParams) -> str:
     away = "abs(v - acc.mean)"
     peak = state(f"acc.mean + v * {f} / (1 + {f})", f"acc.std + {away} * {f} / (1 + {f})", 1)
     calm = state("(acc.mean + v) / 2", f"(acc.std + {away}) / 2", 0)
+    # NaN is no peak, although Spark orders it above all numbers.
+    above = f"v > acc.mean + acc.std * {float(params.diff)!r}D AND NOT isnan(v)"
     # The last word is padded, so that the bit of a row is always at the same place.
     return f"""aggregate(
         {x},
         named_struct('mean', mean, 'std', std, 'n', 0, 'word', 0L,
                      'words', cast(array() AS array<bigint>)),
-        (acc, v) -> if(v > acc.mean + acc.std * {float(params.diff)!r}D, {peak}, {calm}),
+        (acc, v) -> if({above}, {peak}, {calm}),
         acc -> array_append(acc.words, shiftleft(acc.word, {_BITS} - acc.n)))"""
 
 

@@ -346,7 +346,7 @@ def calendar_csv_parse(spark, folder):
 @query
 def title_prettify(spark, folder):
     named = table(spark, folder, "part").select(
-        "p_partkey", F.concat_ws("_", F.translate("p_name", " ", "_"), F.lower("p_type"), F.lit("o'reilly-x")).alias("t")
+        "p_partkey", F.concat_ws("_", F.translate("p_name", " ", "_"), F.lower("p_type"), F.lit("o'reilly-x_été")).alias("t")
     )
     return named.select("p_partkey", text.prettify_title(F.col("t")).alias("title"))
 

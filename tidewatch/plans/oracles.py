@@ -89,7 +89,8 @@ SPIKES = f"""spikes AS (
 
 def pretty(title: str) -> str:
     runs = f"regexp_extract_all(replace({title}, '_', ' '), '(\\w+|\\W+)', 1)"
-    return f"array_to_string(list_transform({runs}, lambda r: upper(r[1]) || substr(r, 2)), '')"
+    word = "CASE WHEN regexp_matches(r, '^\\w') THEN upper(r[1]) || substr(r, 2) ELSE r END"
+    return f"array_to_string(list_transform({runs}, lambda r: {word}), '')"
 
 
 ALL_BUCKETS = " || ".join(BUCKET_NAMES)
@@ -339,7 +340,7 @@ ORACLES: dict[str, str] = {
       SELECT c_custkey, '2016-03-01' AS date, 'democrats' AS party,
              c_name || ', "' || c_mktsegment || '"' AS location FROM customer""",
     "title_prettify": f"""
-      SELECT p_partkey, {pretty("replace(p_name, ' ', '_') || '_' || lower(p_type) || '_o''reilly-x'")} AS title
+      SELECT p_partkey, {pretty("replace(p_name, ' ', '_') || '_' || lower(p_type) || '_o''reilly-x_été'")} AS title
       FROM part""",
     "top_pages": with_(PAGE_HOURS, TOP) + "SELECT title, total FROM top",
     "page_matrix": with_(PAGE_HOURS, TOP, SPINE.format("page_hours"))
