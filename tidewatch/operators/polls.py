@@ -11,36 +11,24 @@ from tidewatch.functions import text
 NEIGHBOURS = 2
 
 
-def numbered_entries(entries: DataFrame) -> DataFrame:
-    """Entries of each poll numbered in date order. A poll has one entry per date."""
-    by_date = Window.partitionBy("poll").orderBy("entry_ts")
-    return entries.withColumn("entry_no", F.row_number().over(by_date))
-
-
-def matching_entries(numbered: DataFrame, events: DataFrame) -> DataFrame:
-    """``(poll, event_ts, entry_no)``: the entry of each poll on the date of each event.
-
-    Polls without an entry on that date are not shown for the event.
-    """
-    dates = events.select("event_ts").distinct()
-    return numbered.join(dates, F.col("entry_ts") == F.col("event_ts")).select(
-        "poll", "event_ts", F.col("entry_no").alias("match_no")
-    )
-
-
 def poll_neighbourhood(
     entries: DataFrame, events: DataFrame, neighbours: int = NEIGHBOURS
 ) -> DataFrame:
-    """Entries from ``neighbours`` before to ``neighbours`` after each match.
+    """Entries from ``neighbours`` before to ``neighbours`` after the entry of an event's date.
 
-    Each match lists the entry numbers it wants, which makes the lookup an equi-join.
+    A poll without an entry on that date is not shown for the event. A poll has one entry per
+    date; ``entry_no`` counts them. Each entry takes over the events matched by itself and its
+    neighbours, so the entries are read once and joined with nothing but the event dates.
     """
-    numbered = numbered_entries(entries)
-    reach = F.sequence(F.col("match_no") - neighbours, F.col("match_no") + neighbours)
-    wanted = matching_entries(numbered, events).select(
-        "poll", "event_ts", F.explode(reach).alias("entry_no")
+    dates = events.select("event_ts").distinct()
+    by_date = Window.partitionBy("poll").orderBy("entry_ts")
+    nearby = by_date.rowsBetween(-neighbours, neighbours)
+    matched = entries.join(dates, F.col("entry_ts") == F.col("event_ts"), "left")
+    return (
+        matched.withColumn("entry_no", F.row_number().over(by_date))
+        .withColumn("_events", F.collect_list("event_ts").over(nearby))
+        .select(*entries.columns, "entry_no", F.explode("_events").alias("event_ts"))
     )
-    return wanted.join(numbered, ["poll", "entry_no"])
 
 
 def entry_midpoints(neighbourhood: DataFrame) -> DataFrame:
