@@ -9,10 +9,10 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op4_near_duplicates"] = f"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex({_LOWER}, {_SPACE}), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex({_LOWER}, {_SPACE}), lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE
-      WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))
+      WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh
   FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -32,3 +32,10 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.other, d.doc_id) AS
        coalesce(c.other, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+ORACLES["op1_exact_dedup"] = f"""
+WITH t AS (SELECT doc_id, {_LOWER} AS x FROM documents),
+g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256
+FROM t JOIN g USING (x)
+"""

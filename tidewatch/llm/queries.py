@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import near_dup
+from tidewatch.llm import exact_dedup, mixing, near_dup
 from tidewatch.llm.tables import table
+from tidewatch.plans.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,3 +25,15 @@ def query(fn: Query) -> Query:
 @query
 def op4_near_duplicates(spark, folder):
     return near_dup.near_duplicates(table(spark, folder, "documents"), LINKED)
+
+
+@query
+def op1_exact_dedup(spark, folder):
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"), keep="largest")
+
+
+@query
+def op8_mix_sources(spark, folder):
+    """The small columns are written first: the texts are read once, the sizes twice."""
+    rows = staged(mixing.measured(table(spark, folder, "documents"), ["doc_id"]), "sizes")
+    return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
