@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, mixing, near_dup
+from tidewatch.llm import exact_dedup, lang_id, mixing, near_dup
 from tidewatch.llm.tables import table
 from tidewatch.plans.staging import staged
 
@@ -37,3 +37,10 @@ def op8_mix_sources(spark, folder):
     """The small columns are written first: the texts are read once, the sizes twice."""
     rows = staged(mixing.measured(table(spark, folder, "documents"), ["doc_id"]), "sizes")
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_language_id(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", lang_id.held_out("doc_id", 4, 2))
+    model = lang_id.fit(docs.where("not held_out"))
+    return lang_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
