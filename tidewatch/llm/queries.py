@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, lang_id, mixing, near_dup
+from tidewatch.llm import decontaminate, exact_dedup, lang_id, mixing, near_dup
 from tidewatch.llm.tables import table
 from tidewatch.plans.staging import staged
 
@@ -44,3 +44,8 @@ def op10_language_id(spark, folder):
     docs = table(spark, folder, "documents").withColumn("held_out", lang_id.held_out("doc_id", 4, 2))
     model = lang_id.fit(docs.where("not held_out"))
     return lang_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query
+def op5_benchmark_leaks(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

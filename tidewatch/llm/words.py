@@ -7,7 +7,8 @@ arrays stay small however long a text is; what is kept is 8 bytes a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -74,42 +75,69 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def word_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word in order, and n + 1 offsets: the words of row i are [o[i], o[i+1])."""
-    hashes, starts, offsets, _ = word_spans(column)
-    return hashes, np.searchsorted(starts, offsets)
+@dataclass
+class Spans:
+    """Tokens of a text column in order, and the bytes they lie in."""
+
+    hashes: np.ndarray
+    starts: np.ndarray  # first byte
+    lengths: np.ndarray  # in bytes
+    kinds: np.ndarray
+    marks: np.ndarray  # marked bytes before the token, within all rows
+    offsets: np.ndarray  # n + 1 byte offsets of the rows
+    data: np.ndarray
+
+    def rows(self) -> np.ndarray:
+        """n + 1 offsets: the tokens of row i are [o[i], o[i + 1])."""
+        return np.searchsorted(self.starts, self.offsets)
+
 
+def _words_only(part: np.ndarray) -> np.ndarray:
+    return (~_SPACE[part]).astype(np.uint8)
 
-def word_spans(
+
+def spans(
     column: pa.Array | pa.ChunkedArray,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and first byte of every word, the byte offsets of the rows, and the bytes."""
+    classify: Callable[[np.ndarray], np.ndarray] = _words_only,
+    marked: np.ndarray | None = None,
+    fold: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> Spans:
+    """Tokens are the longest runs of bytes of one class above 0; ``classify`` gives the class of
+    each byte and must give 0 for white space. ``marked`` is a table of the bytes to count,
+    ``fold`` maps the bytes before they are hashed."""
     data, offsets = buffers(column)
-    hashes, starts = [], []
+    found: list[tuple[np.ndarray, ...]] = []
+    seen = 0
     for lo, hi in _blocks(data, offsets):
         part = data[lo:hi]
-        gap = _SPACE[part]
+        kind = classify(part)
         edge = np.zeros(len(part) + 1, bool)
         inside = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")]
         edge[inside - lo] = True
         edge[0] = edge[-1] = True
-        begins = ~gap & edge[:-1]
-        begins[1:] |= ~gap[1:] & gap[:-1]
-        ends = ~gap & edge[1:]
-        ends[:-1] |= ~gap[:-1] & gap[1:]
-        first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+        edge[1:-1] |= kind[1:] != kind[:-1]
+        token = kind > 0
+        first, last = np.flatnonzero(token & edge[:-1]), np.flatnonzero(token & edge[1:])
         up, down = _powers(len(part))
-        total = np.cumsum(_VALUES[part] * up, dtype=np.uint64)
+        total = np.cumsum(_VALUES[part if fold is None else fold(part)] * up, dtype=np.uint64)
         before = np.where(first > 0, total[first - 1], np.uint64(0))
-        hashes.append(mix((total[last] - before) * down[first] + (last - first).astype(np.uint64)))
-        starts.append(first + lo)
-    none = np.zeros(0, np.int64)
-    return (
-        np.concatenate(hashes) if hashes else none.astype(np.uint64),
-        np.concatenate(starts) if starts else none,
-        offsets,
-        data,
-    )
+        size = last - first
+        hashes = mix((total[last] - before) * down[first] + size.astype(np.uint64))
+        if marked is None:
+            count = np.zeros(len(first), np.int64)
+        else:
+            here = np.cumsum(marked[part])
+            count, seen = seen + here[first], seen + int(here[-1])
+        found.append((hashes, first + lo, size + 1, kind[first], count))
+    if not found:
+        found = [tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint8, np.int64))]
+    return Spans(*(np.concatenate(x) for x in zip(*found)), offsets, data)
+
+
+def word_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word in order, and n + 1 offsets: the words of row i are [o[i], o[i+1])."""
+    found = spans(column)
+    return found.hashes, found.rows()
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
