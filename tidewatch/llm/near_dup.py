@@ -277,3 +277,12 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     moved = components(relabel(relabel(links, roots, "a"), roots, "b"))
     known = relabel(roots, moved, "root")
     return staged(known.union(moved.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+
+
+def deduplicate(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one doc_id per component, and rows without doc_id.
+
+    A doc_id that several rows bear stays if any of them is kept.
+    """
+    found = near_duplicates(docs, params).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"))
+    return docs.join(found.where("not _kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
