@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, lang_id, lm, mixing, near_dup
+from tidewatch.llm import decontaminate, exact_dedup, lang_id, licenses, lm, mixing, near_dup
 from tidewatch.llm.tables import table
 from tidewatch.plans.staging import staged
 
@@ -56,3 +56,8 @@ def op9_lm_scores(spark, folder):
     docs = table(spark, folder, "documents").withColumn("held_out", lang_id.held_out("doc_id", 7, 2))
     model, counts = lm.fit(docs.where("not held_out"))
     return lm.score(docs.select("doc_id", "held_out", "text"), model, counts)
+
+
+@query
+def op7_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
