@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, lang_id, licenses, lm, mixing, near_dup
+from tidewatch.llm import decontaminate, exact_dedup, lang_id, licenses, lm, mixing, near_dup, warc
 from tidewatch.llm.tables import table
 from tidewatch.plans.staging import staged
+from tidewatch.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +62,10 @@ def op9_lm_scores(spark, folder):
 @query
 def op7_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op3_warc_archives(spark, folder):
+    path = shared_folder(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.page_table(warc.read_archives(spark, path, payloads=False))

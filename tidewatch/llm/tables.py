@@ -24,10 +24,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int | None = None) -> None:
     """Bound the Arrow batches of this session."""
     for key, value in BATCHES.items():
         spark.conf.set(key, value)
+    if rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def ascii_lower(text: Column) -> Column:
