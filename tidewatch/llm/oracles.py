@@ -39,3 +39,22 @@ g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256
 FROM t JOIN g USING (x)
 """
+
+# The formatted length counts the template's own characters and a backslash before each control string.
+ORACLES["op2_chat_format"] = """
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations
+  UNION ALL
+  SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), c AS (
+  SELECT *, length(x) + len(regexp_extract_all(x, '<s>|</s>|\\[/?INST\\]|\\[ANS\\]|<<SYS:|>>|<</SYS>>'))
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 ELSE 18 + length(role) END AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(x)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

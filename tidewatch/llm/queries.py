@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, lang_id, licenses, lm, mixing, near_dup, warc
+from tidewatch.llm import chat, decontaminate, exact_dedup, lang_id, licenses, lm, mixing, near_dup, warc
 from tidewatch.llm.tables import table
 from tidewatch.plans.staging import staged
 from tidewatch.session import shared_folder
@@ -69,3 +69,17 @@ def op3_warc_archives(spark, folder):
     path = shared_folder(spark, "archives")
     warc.write_archives(table(spark, folder, "pages"), path)
     return warc.page_table(warc.read_archives(spark, path, payloads=False))
+
+
+@query
+def op2_chat_format(spark, folder):
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, folder, "conversations")
+    # One more conversation whose texts are full of control strings.
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    return chat.read_back(chat.format_conversations(turns.union(more)))
