@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, exact_dedup, lang_id, licenses, lm, mixing, near_dup, warc
+from tidewatch.llm import chat, decontaminate, exact_dedup, extract, lang_id, licenses, lm, mixing, near_dup, warc
 from tidewatch.llm.tables import table
 from tidewatch.plans.staging import staged
 from tidewatch.session import shared_folder
@@ -83,3 +83,8 @@ def op2_chat_format(spark, folder):
         F.lit(said).alias("text"),
     )
     return chat.read_back(chat.format_conversations(turns.union(more)))
+
+
+@query
+def op6_main_text(spark, folder):
+    return extract.extract(table(spark, folder, "pages"))
