@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tables import ascii_lower
+from tidewatch.plans.staging import staged
 
 RUNS, FAN_IN = 512, 8
 ENTRY = ["digest", "n_bytes", "check"]
@@ -32,6 +33,8 @@ def digest_entries(docs: DataFrame, runs: int = RUNS) -> DataFrame:
         F.xxhash64("_text").alias("check"),
         F.pmod(F.xxhash64(F.lit("run"), "doc_id"), F.lit(runs)).cast("int").alias("run"),
     )
+    # Written once, so that the texts are read and hashed once for all rounds.
+    entries = staged(entries, "digests")
     return entries.repartition("run", *ENTRY).sortWithinPartitions("run", *ENTRY)
 
 
