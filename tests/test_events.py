@@ -96,3 +96,15 @@ def test_overlapping_events_and_large_calendars(spark, signals):
         assert rows() == small
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_repeated_date_is_one_event(spark, signals):
+    once = events.event_windows(events.window_points(signals("t"), known(spark, "2016-02-09"))).collect()
+    twice = events.event_windows(events.window_points(signals("t"), known(spark, "2016-02-09", "2016-02-09"))).collect()
+    assert once == twice
+
+
+def test_event_dates_may_be_short_and_have_text_after_them(spark):
+    lines = spark.createDataFrame([("2016-2-9",), (" 2016-02-10 Tuesday",), ("2016-02-111",), ("soon",)], "value string")
+    found = calendar.event_times(lines).collect()
+    assert sorted(str(r.event_date) for r in found) == ["2016-02-09", "2016-02-10"]

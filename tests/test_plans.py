@@ -10,13 +10,14 @@ from __spark_entry__ import queries
 from tidewatch.operators import events, peaks, report, rolling, series, topk
 from tidewatch.params import EventParams, PeakParams
 from tidewatch.plans import inputs
+from tidewatch.plans.catalog import QUERIES
 from tidewatch.sinks import files
 from tidewatch.sources import calendar, signals
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"live_peak_signal"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"live_peak_signal"}))
 def test_no_pairs_of_everything(spark, name):
     plan = plan_of(queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in plan
@@ -33,8 +34,9 @@ def test_sums_shuffle_after_a_partial_sum(spark):
 def test_signal_and_windows_share_one_shuffle_by_topic(spark):
     found = peaks.detect_peaks(inputs.type_series(spark, FOLDER), PeakParams(24, 3.0))
     spikes = events.find_spikes(found, inputs.january_events(spark), EventParams())
-    # One by topic and hour for the sums, one by topic for the series; none for the windows.
-    assert plan_of(spikes).count("Exchange hashpartitioning") == 2
+    # One by topic and hour for the sums, one by topic for the series, one of the few dates; none for the windows.
+    assert plan_of(spikes).count("Exchange hashpartitioning") == 3
+    assert plan_of(spikes).count("Exchange hashpartitioning(event_ts") == 1
     assert "BroadcastHashJoin" in plan_of(spikes)
 
 

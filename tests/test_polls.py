@@ -61,3 +61,10 @@ def test_candidate_series(spark, entries):
     near = polls.poll_neighbourhood(entries, events(spark, 0))
     rows = {r.name: [p.value for p in r.points] for r in polls.candidate_series(near).collect()}
     assert rows == {"X": [0.5, 2.5, 3.5], "Y": [None, None, None]}
+
+
+def test_several_entries_on_one_date_match_once(spark, entries):
+    more = entries.union(spark.createDataFrame([("A", at(3), [("X", "9")])], entries.schema))
+    rows = polls.poll_neighbourhood(more, events(spark, 3)).collect()
+    assert days(rows) == [("A", d) for d in (0, 2, 3, 3, 7)]
+    assert sorted(r.entry_no for r in rows) == [1, 2, 3, 4, 5]

@@ -103,7 +103,7 @@ def test_matrix_against_loops(spark):
         totals[title] = totals.get(title, 0) + v
     pages = sorted(totals, key=lambda t: (-totals[t], t))[:20]
     assert topk.page_names(hours) == pages
-    matrix = topk.page_matrix(hours, pages).orderBy("ts").collect()
+    matrix = topk.page_matrix(hours, len(pages)).orderBy("ts").collect()
     used = [h for _, h, _ in rows]
     assert len(matrix) == max(used) - min(used) + 1
     for i, row in enumerate(matrix):

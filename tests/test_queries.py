@@ -6,6 +6,7 @@ import pytest
 from compare import database, same, spark_rows, sql_rows
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidewatch.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def con():
     return database(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_sql(spark, con, name):
     columns, rows = spark_rows(queries()[name](spark, FOLDER))
     expected_columns, expected = sql_rows(con, oracle_sql()[name])

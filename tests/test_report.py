@@ -77,3 +77,15 @@ def test_bubbles(summary, dates):
 def test_bubbles_without_spikes(summary, dates):
     rows = report.event_bubbles(dates, summary([("a", 0, 1)]).limit(0)).collect()
     assert [(r.spikes, r.views, r.y, r.z) for r in rows] == [(0, 0.0, 5.0, 5.0)] * 4
+
+
+def test_blank_fields_stay_in_the_text_and_make_a_date_mixed(spark):
+    from tidewatch.operators import report
+
+    rows = spark.createDataFrame(
+        [(0, "debate", None, "Ohio"), (1, "debate", "democrats", None)],
+        "position long, type string, party string, location string",
+    )
+    row = report.calendar_dates(rows.selectExpr("timestamp'2016-02-09' AS event_ts", "*")).first()
+    assert row.tooltip == " debate in Ohio<br>democrats debate in <br>"
+    assert row.party_class == "mixed" and row.parties == ["", "democrats"]

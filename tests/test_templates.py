@@ -42,7 +42,7 @@ def scores(x: list[float], library: list[tuple[bool, list[float]]], p: TemplateP
 @pytest.fixture(scope="module")
 def library(spark):
     rng = random.Random(5)
-    rows = [(f"r{i}", i % 3 == 0, [rng.lognormvariate(2, 1) for _ in range(rng.randint(3, 14))]) for i in range(9)]
+    rows = [(f"r{i}", None if i == 7 else i % 3 == 0, [rng.lognormvariate(2, 1) for _ in range(rng.randint(3, 14))]) for i in range(9)]
     frame = spark.createDataFrame(rows, "ref_id string, trending boolean, values array<double>")
     return references.prepare_references(frame, PARAMS).persist()
 
@@ -56,14 +56,14 @@ def test_prepared_references(spark, library):
     assert row.series == pytest.approx(prepared(raw, PARAMS)[-8:])
 
 
-@pytest.mark.parametrize("in_memory", [10_000, 4])
-def test_scores_match_a_plain_loop(make_series, library, in_memory):
+@pytest.mark.parametrize("per_chunk", [256, 4, 1])
+def test_scores_match_a_plain_loop(make_series, library, per_chunk):
     rng = random.Random(11)
     topics = {f"t{i}": [float(rng.randint(0, 50)) for _ in range(rng.randint(4, 60))] for i in range(6)}
     topics["zeros first"] = [0.0] * 12 + [4.0, 9.0]
     topics["only zeros"] = [0.0] * 12
-    known = [(r.trending, r.series) for r in library.collect()]
-    rows = templates.template_scores(make_series(topics), library, PARAMS, in_memory)
+    known = [(bool(r.trending), r.series) for r in library.collect()]
+    rows = templates.template_scores(make_series(topics), library, PARAMS, per_chunk)
     found: dict[str, list[float]] = {}
     for r in rows.orderBy("topic", "ts").collect():
         found.setdefault(r.topic, []).append(r.signal)
@@ -95,6 +95,17 @@ def test_library_is_stored_and_grows(spark, tmp_path):
     assert sorted(r.ref_id for r in references.read_references(spark, str(tmp_path / "lib")).collect()) == ["a", "b"]
 
 
+def test_no_job_runs_while_the_plan_is_built(spark, make_series, library):
+    before = max(spark.sparkContext.statusTracker().getJobIdsForGroup() or [0])
+    templates.template_scores(make_series({"t": [5.0] * 9}), library, PARAMS)
+    assert max(spark.sparkContext.statusTracker().getJobIdsForGroup() or [0]) == before
+
+
+def test_an_empty_library_weighs_nothing(make_series, library):
+    rows = templates.template_weights(make_series({"t": [5.0] * 9}), library.where("false"), PARAMS).collect()
+    assert len(rows) == 9 and all(r.trend_weight == r.other_weight == 0 for r in rows)
+
+
 def test_references_without_one_class(make_series, library):
     only = library.where("trending")
     rows = templates.template_scores(make_series({"t": [5.0] * 9}), only, PARAMS).orderBy("ts").collect()

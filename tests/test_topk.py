@@ -22,7 +22,7 @@ def test_matrix_is_dense(spark, tmp_path):
     )
     pages = topk.page_names(hours, 3)
     assert pages == ["B`", "b`", "x.y"]
-    matrix = topk.page_matrix(hours, pages)
+    matrix = topk.page_matrix(hours, len(pages))
     assert matrix.columns == ["ts", "page_01", "page_02", "page_03"]
     expected = [(naive(0), 0, 0, 5), (naive(1), 9, 8, 0), (naive(2), 0, 0, 0), (naive(3), 0, 0, 2)]
     assert sorted(map(tuple, matrix.collect())) == expected
@@ -36,7 +36,7 @@ def test_matrix_is_dense(spark, tmp_path):
         "Date(2016,02,01,02,00,00) 0 0 0",
         "Date(2016,02,01,03,00,00) 0 0 2",
     ]
-    read = charts.read_matrix(spark, str(tmp_path / "m"), topk.matrix_columns(pages))
+    read = charts.read_matrix(spark, str(tmp_path / "m"), topk.matrix_columns(len(pages)))
     assert sorted(map(tuple, read.collect())) == expected
 
 

@@ -12,6 +12,7 @@ at most ``1 / min_share`` words and as many n-grams of each length per language.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ from tidewatch.llm.tables import small_batches
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 _LONG = 64
+_KNOWN = 200_000  # words a task remembers
 
 
 @dataclass(frozen=True)
@@ -139,18 +141,29 @@ def fit(labelled: DataFrame, params: LangParams = LangParams()) -> LangModel:
     return LangModel(languages, words, grams, prior, params.longest)
 
 
-def predict_text(model: LangModel, text: str | None, cache: dict[str, np.ndarray] | None = None) -> tuple[str, float]:
+class Scores(dict):
+    """Numbers every word met and keeps its scores, a value per language, one after the other."""
+
+    def __init__(self, model: LangModel) -> None:
+        super().__init__()
+        self.model, self.flat = model, array("d")
+
+    def __missing__(self, word: str) -> int:
+        self.flat.extend(self.model.word_scores(word).tolist())
+        self[word] = place = len(self)
+        return place
+
+    def total(self, words: list[str]) -> np.ndarray:
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.flat).reshape(-1, len(self.model.languages))[places].sum(axis=0)
+
+
+def predict_text(model: LangModel, text: str | None, scores: Scores | None = None) -> tuple[str, float]:
     """The language of one text and its share of the probability; ties go to the first name."""
-    cache = {} if cache is None else cache
-    counts = Counter(_words(text))
-    if not counts or not model.languages:
+    words = _words(text)
+    if not words or not model.languages:
         return UNKNOWN, 0.0
-    total = model.prior.copy()
-    for word, n in counts.items():
-        scores = cache.get(word)
-        if scores is None:
-            scores = cache[word] = model.word_scores(word)
-        total += n * scores
+    total = model.prior + (Scores(model) if scores is None else scores).total(words)
     best = int(np.argmax(total))
     return model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -169,11 +182,11 @@ def predict(docs: DataFrame, model: LangModel) -> DataFrame:
 
 
         known = shared.value
-        cache: dict[str, np.ndarray] = {}
+        scores = Scores(known)
         for texts in batches:
-            if len(cache) > 200_000:
-                cache.clear()
-            made = [predict_text(known, t, cache) for t in texts]
+            if len(scores) > _KNOWN:
+                scores = Scores(known)
+            made = [predict_text(known, t, scores) for t in texts]
             yield pd.DataFrame(made, columns=["lang_pred", "score"])
 
     rows = docs.select(*keep, guess("text").alias("_lang"))

@@ -13,12 +13,15 @@ BUCKET_HOURS = ((-48, -24), (-24, 0), (0, 24), (24, 48), (48, 72))
 
 
 def event_buckets(events: DataFrame) -> DataFrame:
-    """``(event_ts, bucket, lo, hi, day)``: the day buckets, one row per UTC day they touch."""
+    """``(event_ts, bucket, lo, hi, day)``: the day buckets, one row per UTC day they touch.
+
+    A date that the calendar lists several times is one event.
+    """
     rows = ", ".join(
         f"{i}, event_ts + interval {lo} hours, event_ts + interval {hi} hours"
         for i, (lo, hi) in enumerate(BUCKET_HOURS)
     )
-    buckets = events.selectExpr(
+    buckets = events.select("event_ts").distinct().selectExpr(
         "event_ts", f"stack({len(BUCKET_HOURS)}, {rows}) AS (bucket, lo, hi)"
     )
     return buckets.withColumn("day", F.expr("explode(sequence(date(lo), date(hi)))"))

@@ -16,17 +16,19 @@ def poll_neighbourhood(
 ) -> DataFrame:
     """Entries from ``neighbours`` before to ``neighbours`` after the entry of an event's date.
 
-    A poll without an entry on that date is not shown for the event. A poll has one entry per
-    date; ``entry_no`` counts them. Each entry takes over the events matched by itself and its
+    A poll without an entry on that date is not shown for the event. Of several entries of a poll on
+    one date the first counts as the event's; ``entry_no`` counts all. Each entry takes over the events matched by itself and its
     neighbours, so the entries are read once and joined with nothing but the event dates.
     """
     dates = events.select("event_ts").distinct()
-    by_date = Window.partitionBy("poll").orderBy("entry_ts")
+    by_date = Window.partitionBy("poll").orderBy("entry_ts", "candidate")
     nearby = by_date.rowsBetween(-neighbours, neighbours)
     matched = entries.join(dates, F.col("entry_ts") == F.col("event_ts"), "left")
+    again = F.lag("entry_ts").over(by_date).eqNullSafe(F.col("entry_ts"))
     return (
         matched.withColumn("entry_no", F.row_number().over(by_date))
-        .withColumn("_events", F.collect_list("event_ts").over(nearby))
+        .withColumn("_event", F.when(~again, F.col("event_ts")))
+        .withColumn("_events", F.collect_list("_event").over(nearby))
         .select(*entries.columns, "entry_no", F.explode("_events").alias("event_ts"))
     )
 

@@ -96,8 +96,11 @@ def party_class(only_democrats: Column, only_republicans: Column) -> Column:
 def calendar_dates(calendar: DataFrame) -> DataFrame:
     """``(event_ts, tooltip, parties, party_class)``: one row per date of the calendar.
 
-    The tooltip lists the events of the date in calendar order.
+    The tooltip lists the events of the date in calendar order. A blank field is read as null;
+    it counts as an empty text, and a blank party as one of its own.
     """
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("party", "type", "location")]
+    calendar = calendar.select("event_ts", "position", *blank)
     line = F.concat("party", F.lit(" "), "type", F.lit(" in "), "location", F.lit("<br>"))
     listed = F.sort_array(F.collect_list(F.struct("position", line.alias("line"))))
     return calendar.groupBy("event_ts").agg(

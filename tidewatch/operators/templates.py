@@ -20,10 +20,9 @@ from tidewatch.functions import vectors
 from tidewatch.operators.series import pack, values
 from tidewatch.params import TemplateParams
 
-# Largest library that travels to the tasks whole: 12 MB at the default length.
-REFERENCES_IN_MEMORY = 10_000
-_CHUNK = 256
-_SALTS = 64
+# References of a chunk, and chunks whose sums are added up at a time.
+PER_CHUNK = 256
+_GROUP = 64
 _WINDOWS_AT_ONCE = 2_048
 
 
@@ -71,99 +70,83 @@ def _score_series(
     return weights
 
 
-def _spread_weights(packed: DataFrame, flat: Column) -> DataFrame:
+def slice_weight(reference: Column, test: Column, params: TemplateParams) -> Column:
+    """Weight of one reference for one prepared series of ``series_length`` items."""
+
+    @F.pandas_udf("double")
+    def weight(refs: pd.Series, tests: pd.Series) -> pd.Series:
+        return pd.Series([_weights(np.array([t]), [np.array(r)], params)[0] for r, t in zip(refs, tests)])
+
+    return weight(reference, test)
+
+
+def _spread_weights(packed: DataFrame, flat: str) -> DataFrame:
     """One row per topic and hour from packed points and their flat list of weight pairs."""
-    rows = packed.withColumn("_w", flat).select("topic", F.posexplode("points").alias("_i", "p"), "_w")
+    rows = packed.select("topic", F.posexplode("points").alias("_i", "p"), flat)
     return rows.select(
         "topic",
         "p.ts",
         "p.views",
-        F.get("_w", F.col("_i") * 2).alias("trend_weight"),
-        F.get("_w", F.col("_i") * 2 + 1).alias("other_weight"),
+        F.get(flat, F.col("_i") * 2).alias("trend_weight"),
+        F.get(flat, F.col("_i") * 2 + 1).alias("other_weight"),
     )
 
 
-def _against_list(series: DataFrame, library: list, params: TemplateParams) -> DataFrame:
-    trending = [np.array(r.series, dtype=float) for r in library if r.trending]
-    others = [np.array(r.series, dtype=float) for r in library if not r.trending]
-
-    @F.pandas_udf("array<double>")
-    def flat_weights(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: _score_series(x, trending, others, params).ravel())
-
-    return _spread_weights(pack(series), flat_weights(values("points")))
+def _added(lists: Column) -> Column:
+    """The sum of lists of equal length, item by item."""
+    first, others = F.get(lists, F.lit(0)), F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(1)))
+    return F.aggregate(others, first, lambda total, x: F.zip_with(total, x, lambda a, b: a + b))
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-
-def _against_table(
-    series: DataFrame, references: DataFrame, params: TemplateParams, per_chunk: int
+def template_weights(
+    series: DataFrame,
+    references: DataFrame,
+    params: TemplateParams = TemplateParams(),
+    per_chunk: int = PER_CHUNK,
 ) -> DataFrame:
-    """The same weights by a join with chunks of the library, whatever its size.
+    """Weights of trending and other references per topic and hour.
 
-    A hash of the ids deals the references into chunks of bounded size. Each topic meets each
-    chunk once and keeps two sums per hour; the sums of the chunks add up. Topics are spread
-    over ``_SALTS`` copies of each chunk, so that no chunk is one hot key.
+    A hash of the ids deals the library into chunks of about ``per_chunk`` series. Each topic meets
+    each chunk once, by a join whose smaller side Spark broadcasts if its size allows. A meeting gives
+    one list with two weights per hour; the lists of a topic are added up, ``_GROUP`` chunks at a
+    time. The result does not depend on the chunks. A reference without a label counts as other.
     """
-    chunks = -(-references.count() // per_chunk)
+    # A subquery, so no job runs before the result is asked for.
+    count = references.agg(F.greatest(F.ceil(F.count("*") / per_chunk), F.lit(1)).alias("n")).scalar()
 
     def members(trending: bool) -> Column:
-        return F.collect_list(F.when(F.col("trending") == trending, F.col("series")))
+        label = F.coalesce("trending", F.lit(False))
+        return F.collect_list(F.when(label == trending, F.col("series")))
 
-    library = (
-        references.groupBy(F.pmod(F.xxhash64("ref_id"), F.lit(chunks)).alias("_chunk"))
-        .agg(members(True).alias("_trending"), members(False).alias("_others"))
-        .withColumn("_salt", F.explode(_numbers(_SALTS)))
-    )
-    packed = (
-        pack(series)
-        .withColumn("_chunk", F.explode(_numbers(chunks)))
-        .withColumn("_salt", F.pmod(F.xxhash64("topic"), F.lit(_SALTS)))
+    numbered = references.select("trending", "series", F.xxhash64("ref_id").alias("_h")).withColumn("_n", count)
+    library = numbered.groupBy(F.pmod("_h", "_n").alias("_chunk")).agg(
+        members(True).alias("_trending"), members(False).alias("_others")
     )
+    packed = pack(series)
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)
+    dealt = packed.withColumn("_n", count).select("topic", "points", F.explode(numbers).alias("_chunk"))
 
     @F.pandas_udf("array<double>")
     def flat_weights(xs: pd.Series, trending: pd.Series, others: pd.Series) -> pd.Series:
-        scored = [_score_series(*row, params).ravel() for row in zip(xs, trending, others)]
+        listed = lambda refs: [np.array(r, dtype=float) for r in ([] if refs is None else refs)]
+        scored = [_score_series(x, listed(t), listed(o), params).ravel() for x, t, o in zip(xs, trending, others)]
         return pd.Series(scored, dtype=object)
 
     flat = flat_weights(values("points"), F.col("_trending"), F.col("_others"))
-    return (
-        _spread_weights(packed.join(library, ["_chunk", "_salt"]), flat)
-        .groupBy("topic", "ts")
-        .agg(
-            F.first("views").alias("views"),
-            F.sum("trend_weight").alias("trend_weight"),
-            F.sum("other_weight").alias("other_weight"),
-        )
-    )
-
-
-def template_weights(
-    series: DataFrame,
-    references: DataFrame,
-    params: TemplateParams = TemplateParams(),
-    in_memory: int = REFERENCES_IN_MEMORY,
-) -> DataFrame:
-    """Weights of trending and other references per topic and hour.
-
-    A library of at most ``in_memory`` series travels to the tasks whole; the check reads no
-    further than that. A larger one is joined chunk by chunk, with the same result.
-    """
-    library = references.select("trending", "series").limit(in_memory + 1).collect()
-    if len(library) <= in_memory:
-        return _against_list(series, library, params)
-    return _against_table(series, references, params, min(in_memory, _CHUNK))
+    met = dealt.join(library, "_chunk", "left").select("topic", "points", "_chunk", flat.alias("_w"))
+    group = F.floor(F.col("_chunk") / _GROUP).alias("_group")
+    partial = met.groupBy("topic", group).agg(F.first("points").alias("points"), _added(F.collect_list("_w")).alias("_w"))
+    whole = partial.groupBy("topic").agg(F.first("points").alias("points"), _added(F.collect_list("_w")).alias("_w"))
+    return _spread_weights(whole, "_w")
 
 
 def template_scores(
     series: DataFrame,
     references: DataFrame,
     params: TemplateParams = TemplateParams(),
-    in_memory: int = REFERENCES_IN_MEMORY,
+    per_chunk: int = PER_CHUNK,
 ) -> DataFrame:
     """``(topic, ts, views, signal)`` with the ratio of the two weights as signal."""
-    weights = template_weights(series, references, params, in_memory)
+    weights = template_weights(series, references, params, per_chunk)
     ratio = vectors.weight_ratio(F.col("trend_weight"), F.col("other_weight"))
     return weights.select("topic", "ts", "views", ratio.alias("signal"))

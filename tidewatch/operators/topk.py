@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.series import hour_spine, page_totals
@@ -17,26 +17,30 @@ def top_pages(hours: DataFrame, k: int = TOP_PAGES) -> DataFrame:
 
 
 def page_names(hours: DataFrame, k: int = TOP_PAGES) -> list[str]:
-    """Titles of the top pages, most viewed first: the ``k`` columns of a matrix."""
+    """Titles of the top pages, most viewed first: the header of a matrix, at most ``k`` rows."""
     return [row.title for row in top_pages(hours, k).select("title").collect()]
 
 
-def matrix_columns(pages: list[str]) -> list[str]:
-    """Column names of a matrix. Titles may hold dots or differ in case only, so they are no
-    column names."""
-    return [f"page_{rank:02d}" for rank in range(1, len(pages) + 1)]
+def matrix_columns(k: int = TOP_PAGES) -> list[str]:
+    """Column names of a matrix of ``k`` pages. Titles may hold dots or differ in case only, so they
+    are no column names."""
+    return [f"page_{rank:02d}" for rank in range(1, k + 1)]
 
 
-def page_matrix(hours: DataFrame, pages: list[str], spine: DataFrame | None = None) -> DataFrame:
-    """One row per hour and one column per page; hours and pages without views hold 0.
+def page_matrix(hours: DataFrame, k: int = TOP_PAGES, spine: DataFrame | None = None) -> DataFrame:
+    """One row per hour and one column per top page; hours and pages without views hold 0.
 
-    The pages are given, so the pivot needs no pass of its own to find its columns, and the
-    rows of other pages are filtered out before the shuffle.
+    The ranks are worked out in the plan, over ``k`` rows, and joined by title; rows of other pages
+    are gone before the shuffle by hour. With fewer pages than ``k`` the last columns hold 0.
     """
     every_hour = hour_spine(hours) if spine is None else spine
-    ranks = range(1, len(pages) + 1)
-    rank = F.array_position(F.array(*map(F.lit, pages)), F.col("title"))
-    picked = hours.where(F.col("title").isin(pages)).withColumn("_rank", rank)
-    wide = picked.groupBy("ts").pivot("_rank", list(ranks)).agg(F.sum("views"))
-    wide = wide.toDF("ts", *matrix_columns(pages))
-    return every_hour.join(wide, "ts", "left").fillna(0, matrix_columns(pages))
+    if not k:
+        return every_hour
+    ranked = Window.orderBy(F.desc("total"), F.asc("title"))  # of k rows
+    ranks = top_pages(hours, k).select("title", F.row_number().over(ranked).alias("_rank"))
+    cells = [
+        F.sum(F.when(F.col("_rank") == rank, F.col("views"))).alias(name)
+        for rank, name in enumerate(matrix_columns(k), 1)
+    ]
+    wide = hours.join(ranks, "title").groupBy("ts").agg(*cells)
+    return every_hour.join(wide, "ts", "left").fillna(0, matrix_columns(k))

@@ -22,7 +22,6 @@ from tidewatch.operators import (
 from tidewatch.params import PeakParams
 from tidewatch.plans import inputs
 from tidewatch.plans.inputs import ms, table
-from tidewatch.plans.staging import staged
 from tidewatch.session import shared_folder
 from tidewatch.sinks import files
 from tidewatch.sources import calendar, pageviews, references, signals
@@ -333,13 +332,11 @@ def calendar_csv_parse(spark, folder):
     place = F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"'))
     quoted = F.concat(F.lit('"'), F.replace(place, F.lit('"'), F.lit('""')), F.lit('"'))
     lines = table(spark, folder, "customer").select(
-        "c_custkey",
+        F.col("c_custkey").alias("position"),
         F.concat(F.lit("2016-03-01,open primary,democrats,"), quoted, F.lit(",")).alias("line"),
     )
-    schema = ", ".join(f"{f.name} string" for f in calendar.CALENDAR_SCHEMA)
-    parsed = F.from_csv("line", schema, {"quote": '"', "escape": '"'})
-    return lines.select("c_custkey", parsed.alias("c")).select(
-        "c_custkey", F.col("c.Date").alias("date"), F.col("c.Party").alias("party"), F.col("c.Location").alias("location")
+    return calendar.parse_calendar(lines, inputs.EVENTS).select(
+        F.col("position").alias("c_custkey"), F.date_format("event_date", "yyyy-MM-dd").alias("date"), "party", "location"
     )
 
 
@@ -364,19 +361,14 @@ def top_pages(spark, folder):
 
 
 def _matrix(spark, folder):
-    hours = staged(_page_hours(spark, folder), "page-hours")
-    return topk.page_matrix(hours, topk.page_names(hours))
+    return topk.page_matrix(_page_hours(spark, folder))
 
 
 @query
 def page_matrix(spark, folder):
     """Always ``TOP_PAGES`` columns, so that the schema does not depend on the data."""
     matrix = _matrix(spark, folder)
-    columns = [f"page_{rank:02d}" for rank in range(1, topk.TOP_PAGES + 1)]
-    filled = [
-        F.col(c) if c in matrix.columns else F.lit(0).cast("bigint").alias(c) for c in columns
-    ]
-    return matrix.select(ms("ts").alias("ts_ms"), *filled)
+    return matrix.select(ms("ts").alias("ts_ms"), *matrix.columns[1:])
 
 
 @query
@@ -419,15 +411,18 @@ def reference_library(spark, folder):
 
 @query
 def slice_distance(spark, folder):
-    """Distance of each user's first 8 hours to the next 8, and the weight of the nearest slice."""
-    packed = series.pack(inputs.user_series(spark, folder)).where(F.size("points") >= 24)
+    """Distance of each user's last 8 hours to the 8 before, and the weight of the nearest slice of all hours
+    before; a user with fewer hours has no distance and weight 0."""
+    packed = series.pack(inputs.user_series(spark, folder))
     x = packed.select("topic", series.values("points").alias("x"))
-    first, following = F.slice("x", 1, 8), F.slice("x", 9, 8)
+    before = F.slice("x", 1, F.greatest(F.size("x") - 8, F.lit(0)))
+    x = x.withColumn("before", before).withColumn("last", vectors.keep_last(F.col("x"), 8))
     params = inputs.TemplateParams(series_length=8, reference_length=8, decay=0.001)
+    enough = F.size("before") >= 8
     return x.select(
         "topic",
-        _r(vectors.l1_distance(first, following), 4).alias("distance"),
-        _r(vectors.nearest_slice_weight(F.slice("x", 9, 16), first, params)).alias("weight"),
+        _r(F.when(enough, vectors.l1_distance(vectors.keep_last(F.col("before"), 8), F.col("last"))), 4).alias("distance"),
+        _r(templates.slice_weight(F.col("before"), F.col("last"), params)).alias("weight"),
     )
 
 

@@ -17,8 +17,8 @@ EVENTS = EventParams(views_threshold=40.0)
 TEMPLATES = TemplateParams(
     series_length=24, reference_length=36, decay=0.1, alpha=0.1, smooth=2, baseline_offset=6
 )
-CALENDAR_DATES = (
-    "2024-01-04 2024-01-08 2024-01-09 2024-01-15 2024-01-19 2024-01-23 2024-01-27".split()
+CALENDAR_DATES = (  # one of them listed twice
+    "2024-01-04 2024-01-08 2024-01-08 2024-01-09 2024-01-15 2024-01-19 2024-01-23 2024-01-27".split()
 )
 # (date, type, party, location); the last date lies after all events.
 CALENDAR_ROWS = (
@@ -29,6 +29,7 @@ CALENDAR_ROWS = (
     ("2024-01-09", "open caucus", "republicans", "Utah"),
     ("2024-01-15", "debate", "presidential", "Virginia, \"North\""),
     ("2024-01-19", "open primary", "republicans", "Texas"),
+    ("2024-01-23", "debate", None, None),
     ("2024-01-23", "debate", "democrats", "Nevada"),
     ("2024-01-27", "convention", "republicans", "Maine"),
     ("2024-03-01", "convention", "democrats", "Kansas"),
@@ -101,7 +102,8 @@ def page_lines(spark: SparkSession, folder: str) -> DataFrame:
             " ",
             F.lit("en"),
             F.concat(F.initcap("event_type"), F.lit("_"), F.get_json_object("props", "$.k")),
-            F.floor("value").cast("string"),
+            # Small counts stand for the unreadable ones of real files.
+            F.when(F.col("value") < 2, "n/a").otherwise(F.floor("value").cast("string")),
             F.lit("0"),
         ).alias("line"),
     )
@@ -180,10 +182,10 @@ def poll_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw reference series: the first 48 hours of each type's daily rhythm, labelled by type."""
+    """Raw reference series: all hours of each type, labelled by type."""
     packed = series.pack(type_series(spark, folder))
     return packed.select(
         F.col("topic").alias("ref_id"),
         F.col("topic").isin("purchase", "signup").alias("trending"),
-        F.slice(series.values("points"), 1, 48).alias("values"),
+        series.values("points").alias("values"),
     )

@@ -74,7 +74,7 @@ def extract_spikes(
     params: EventParams = EventParams(),
     dates: str | None = None,
     from_text: bool = False,
-    single_file: bool = True,
+    single_file: bool = False,
 ) -> None:
     """Peak signals to spike JSON lines around the event dates."""
     found = signals.read_signal_text(spark, source) if from_text else signals.read_signals(spark, source)
@@ -128,7 +128,7 @@ def page_matrix(
     span = spark.range(1).select(F.lit(first).alias("first"), F.lit(last).alias("last"))
     spine = span.select(F.explode(clock.hours_between(F.col("first"), F.col("last"))).alias("ts"))
     pages = topk.page_names(hours)
-    files.write_matrix(topk.page_matrix(hours, pages, spine), pages, target)
+    files.write_matrix(topk.page_matrix(hours, len(pages), spine), pages, target)
 
 
 def topic_chart(spark: SparkSession, source: str, topic: str, target: str) -> None:

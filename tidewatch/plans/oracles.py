@@ -67,7 +67,7 @@ def midnight(date: str) -> str:
     return f"timezone('UTC', timezone('{ZONE}', CAST({date} AS TIMESTAMP)))"
 
 
-EVENTS = "event_list AS (SELECT {} AS event_ts FROM (VALUES {}) AS v(d))".format(
+EVENTS = "event_list AS (SELECT DISTINCT {} AS event_ts FROM (VALUES {}) AS v(d))".format(
     midnight("CAST(d AS DATE)"), ", ".join(f"('{d}')" for d in inputs.CALENDAR_DATES)
 )
 POINTS = """points AS (
@@ -116,7 +116,7 @@ def any_keyword(column: str, keywords) -> str:
 PAGE_HOURS = f"""page_hours AS (
       SELECT title, ts, CAST(SUM(views) AS BIGINT) AS views FROM (
         SELECT upper(event_type[1]) || event_type[2:] || '_' || json_extract_string(props, '$.k') AS title,
-               date_trunc('hour', ts) AS ts, CAST(FLOOR(value) AS BIGINT) AS views FROM events)
+               date_trunc('hour', ts) AS ts, CAST(FLOOR(value) AS BIGINT) AS views FROM events WHERE value >= 2)
       WHERE {any_keyword("title", PAGE_KEYWORDS)} GROUP BY ALL)"""
 TOP = """top AS (
       SELECT title, CAST(SUM(views) AS BIGINT) AS total FROM page_hours
@@ -155,7 +155,7 @@ def chain(name: str, source: str, keep: str) -> str:
 
 
 LABELLED = """labelled AS (
-      SELECT topic AS ref_id, topic IN ('purchase', 'signup') AS trending, x[1:48] AS x FROM packed)"""
+      SELECT topic AS ref_id, topic IN ('purchase', 'signup') AS trending, x FROM packed)"""
 LIBRARY = ", ".join(
     [
         PACKED.format("hours"),
@@ -315,7 +315,7 @@ ORACLES: dict[str, str] = {
         SUMMARY,
         TOTALS,
         "calendar(position, d, type, party, location) AS (VALUES {})".format(
-            ", ".join(f"({i}, '{d}', '{t}', '{p}', '{lo}')" for i, (d, t, p, lo) in enumerate(inputs.CALENDAR_ROWS))
+            ", ".join(f"({i}, '{d}', '{t}', '{p or ''}', '{lo or ''}')" for i, (d, t, p, lo) in enumerate(inputs.CALENDAR_ROWS))
         ),
         f"""dates AS (SELECT {midnight('CAST(d AS DATE)')} AS event_ts,
               string_agg(party || ' ' || type || ' in ' || location || '<br>', '' ORDER BY position) AS tooltip,
@@ -377,12 +377,14 @@ ORACLES: dict[str, str] = {
     "slice_distance": with_(
         USERS,
         PACKED.format("hours"),
-        """slices AS (SELECT topic, x[1:8] AS a, UNNEST(range(9, 18)) AS s, x FROM packed WHERE len(x) >= 24),
-           distances AS (SELECT topic, s, list_sum(list_transform(list_zip(a, x[s:s + 7]),
+        """slices AS (SELECT topic, x[len(x) - 7:] AS a, UNNEST(range(1, len(x) - 14)) AS s, x FROM packed
+                     WHERE len(x) >= 16),
+           distances AS (SELECT topic, s, len(x) - 15 AS last, list_sum(list_transform(list_zip(a, x[s:s + 7]),
                            lambda p: ABS(p[1] - p[2]))) AS d FROM slices)""",
     )
-    + """SELECT topic, ROUND(MAX(d) FILTER (s = 9), 4) AS distance,
-             ROUND(EXP(-0.001 * MIN(d)), 6) AS weight FROM distances GROUP BY topic""",
+    + """SELECT p.topic, ROUND(MAX(d) FILTER (s = last), 4) AS distance,
+             ROUND(COALESCE(EXP(-0.001 * MIN(d)), 0), 6) AS weight
+         FROM packed p LEFT JOIN distances USING (topic) GROUP BY p.topic""",
     "template_weights": with_(TYPES, LIBRARY, WEIGHTS)
     + f"""SELECT topic, {ms('ts')} AS ts_ms, ROUND(tw, 6) AS trend_weight,
              ROUND(ow, 6) AS other_weight FROM weights""",

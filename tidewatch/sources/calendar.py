@@ -13,6 +13,9 @@ CALENDAR_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("Date", "Type", "Party", "Location", "Topic")]
 )
 
+# A quote inside quotes is doubled.
+CSV_FORM = {"quote": '"', "escape": '"'}
+
 # The event dates used when no list is given.
 EVENT_DATES = """
 2015-08-06 2015-09-16 2015-10-28 2015-11-10 2015-11-12 2015-11-14 2015-12-15 2015-12-19
@@ -28,11 +31,15 @@ EVENT_DATES = """
 def event_times(dates: DataFrame, params: EventParams = EventParams()) -> DataFrame:
     """``(event_date, event_ts)`` from a text column ``value``; unreadable rows are left out.
 
+    A row begins with year, month and day, the latter two with one or two digits; what follows is
+    ignored.
+
     The filter on the text is also what lets Spark prune day folders of stored signals: it
     does so only from a filtered side of a join.
     """
-    looks_right = F.trim("value").rlike(r"^\d{4}-\d{2}-\d{2}$")
-    date = F.try_to_date(F.trim("value"), "yyyy-MM-dd")
+    begin = F.regexp_extract(F.trim("value"), r"^(\d{4}-\d{1,2}-\d{1,2})(?!\d)", 1)
+    looks_right = F.trim("value").rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?!\d)")
+    date = F.try_to_date(begin, "yyyy-M-d")
     return (
         dates.where(looks_right)
         .select(date.alias("event_date"))
@@ -56,10 +63,17 @@ def known_event_dates(
 
 def read_calendar(spark: SparkSession, path: str, params: EventParams = EventParams()) -> DataFrame:
     """Calendar CSV with its header and doubled quotes, numbered in file order."""
-    rows = spark.read.csv(path, schema=CALENDAR_SCHEMA, header=True, quote='"', escape='"')
+    rows = spark.read.csv(path, schema=CALENDAR_SCHEMA, header=True, **CSV_FORM)
     return with_event_time(rows.withColumn("position", F.monotonically_increasing_id()), params)
 
 
+def parse_calendar(lines: DataFrame, params: EventParams = EventParams()) -> DataFrame:
+    """The same from a column ``line`` of single lines without header, and their ``position``."""
+    schema = ", ".join(f"{f.name} string" for f in CALENDAR_SCHEMA)
+    rows = lines.select("position", F.from_csv("line", schema, CSV_FORM).alias("c"))
+    return with_event_time(rows.select("c.*", "position"), params)
+
+
 def with_event_time(rows: DataFrame, params: EventParams = EventParams()) -> DataFrame:
     """Calendar rows under lower-case names with the time their event starts."""
     date = F.try_to_date("Date", "yyyy-MM-dd")
