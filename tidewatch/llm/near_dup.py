@@ -9,11 +9,13 @@ for each place of that one error, with the place left out of the key; all pairs
 distance therefore meet under a key, and none is lost.
 
 Documents with equal sets become one class first, so groups of copies cost one row. Within a key
-no pairs are listed: in rounds, the members that meet most others become hubs, and hubs are
-compared with the members of other components; confirmed links merge components. Rounds take
-1, 7, 56 ... hubs of each key and end when no key holds two components with an uncompared
-pair, so a large group of near copies needs about as many comparisons as it has members.
-Every link is confirmed on the full shingle sets.
+no pairs are listed: in rounds of 1, 8, 64 ... hubs a key, hubs are compared with the members of
+other components, and confirmed links merge components. A hub then leaves the key, and a key is
+done when one component is left in it. Hubs are the members that meet most others, of the components
+smallest in the key first; so a large group of near copies needs about as many comparisons
+as it has members, and a few strangers among them cost one round.
+Of the pairs that meet, those whose sketches (``sketch`` further MinHash values of one bit, with a like
+bound on the differing ones) agree are compared on the full shingle sets; every link is confirmed so.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components, relabel
@@ -34,6 +36,7 @@ from tidewatch.plans.staging import staged
 
 MISS = 1e-5
 _CELLS = 1 << 15
+_LANES, _WIDTH = 3, 21  # positions to a long, and the bits each has there
 _MORE_HUBS = 8
 
 
@@ -43,12 +46,23 @@ class NearParams:
 
     percent: int = 80
     shingle: int = 5
-    positions: int = 64
+    positions: int = 63  # a multiple of _LANES
+    sketch: int = 1024  # a multiple of 64
 
     @property
     def distance(self) -> int:
-        """Positions in which signatures may differ; the tail beyond it is below ``MISS``."""
-        q, n, tail = 1 - self.percent / 100, self.positions, 1.0
+        """Positions in which signatures may differ."""
+        return self._within(self.positions, 1 - self.percent / 100)
+
+    @property
+    def sketch_distance(self) -> int:
+        """Bits in which sketches may differ: at the threshold, half of the differing values show."""
+        return self._within(self.sketch, (1 - self.percent / 100) / 2)
+
+    @staticmethod
+    def _within(n: int, q: float) -> int:
+        """Of ``n`` values that differ with probability ``q``, how many may; the tail is below ``MISS``."""
+        tail = 1.0
         for r in range(n + 1):
             tail -= math.comb(n, r) * q**r * (1 - q) ** (n - r)
             if tail <= MISS:
@@ -77,51 +91,54 @@ def _digest(found: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
+def _minhashes(cells: np.ndarray, starts: np.ndarray, count: int, bits: int, lanes: int, seed: int) -> np.ndarray:
+    """``count`` MinHash values of ``bits`` bits for each set, ``lanes`` to a long; the sets lie one after the other."""
+    width = 64 // lanes
+    factors, masks = constants(count, seed), constants(count, seed + 1)
+    out = np.zeros((len(starts), count // lanes), np.uint64)
+    for i in range(count):
+        least = np.minimum.reduceat((cells ^ masks[i]) * factors[i], starts)
+        out[:, i // lanes] |= (mix(least) >> np.uint64(64 - bits)) << np.uint64(width * (i % lanes))
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, params: NearParams) -> DataFrame:
     """``doc_id, n_shingles, digest, signature`` of each row; the digest stands for the set."""
     size, positions = params.shingle, params.positions
-    factors, masks = constants(positions, 3), constants(positions, 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, offsets = word_hashes(batch.column("text"))
-            counts, digests, rows = [], [], []
-            pending: list[np.ndarray] = []
+            counts, digests, pending, made = [], [], [], []
 
             def flush() -> None:
                 """Signatures of the pending sets, few enough to stay in the processor's cache."""
-                full = [s for s in pending if len(s)]
-                if full:
-                    cells = np.concatenate(full)
-                    starts = np.concatenate([[0], np.cumsum([len(s) for s in full])[:-1]])
-                    out = np.empty((len(full), positions), "<u2")
-                    for i in range(positions):
-                        least = np.minimum.reduceat((cells ^ masks[i]) * factors[i], starts)
-                        out[:, i] = (mix(least) >> np.uint64(48)).astype("<u2")
-                    made = iter(out)
-                rows.extend(next(made).tobytes() if len(s) else b"" for s in pending)
+                if pending:
+                    cells = np.concatenate(pending)
+                    starts = np.concatenate([[0], np.cumsum([len(s) for s in pending])[:-1]])
+                    made.append(_minhashes(cells, starts, positions, 16, _LANES, 3).ravel())
                 pending.clear()
 
             waiting = 0
             for found in _sets(words, offsets, size):
                 counts.append(len(found))
                 digests.append(_digest(found))
-                pending.append(found)
+                if len(found):
+                    pending.append(found)
                 waiting += len(found)
                 if waiting > _CELLS:
                     flush()
                     waiting = 0
             flush()
+            ends = np.cumsum(np.concatenate([[0], np.array(counts) > 0])) * (positions // _LANES)
+            values = np.concatenate(made) if made else np.zeros(0, np.int64)
+            signed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), signed],
                 names=["doc_id", "n_shingles", "digest", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
-
-
-def _matrix(column: pa.Array, positions: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, positions)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature array<bigint>")
 
 
 def chunk_keys(classes: DataFrame, params: NearParams) -> DataFrame:
@@ -131,9 +148,9 @@ def chunk_keys(classes: DataFrame, params: NearParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = _matrix(batch.column("signature"), positions).astype(np.uint64) + np.uint64(1)
-            if not len(sig):
-                continue
+            packed = batch.column("signature").flatten().to_numpy().view(np.uint64).reshape(-1, positions // _LANES)
+            lanes = [(packed >> np.uint64(_WIDTH * lane)) & np.uint64(0xFFFF) for lane in range(_LANES)]
+            sig = np.stack(lanes, axis=2).reshape(-1, positions) + np.uint64(1)
             terms = mix(sig * factors)
             keys = np.empty_like(terms)
             for chunk in chunks:
@@ -146,18 +163,6 @@ def chunk_keys(classes: DataFrame, params: NearParams) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def _close(pairs: DataFrame, params: NearParams) -> DataFrame:
-    """The pairs ``a, b`` whose signatures lie within the distance."""
-    positions, most = params.positions, params.distance
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = (_matrix(batch.column("sig_a"), positions) != _matrix(batch.column("sig_b"), positions)).sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
 
@@ -175,20 +180,37 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, shingles`` of the wanted classes (``node, doc_id, digest``), from the whole texts."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFrame:
+    """``node, shingles, sketch`` of the wanted classes (``node, doc_id, digest``), from the whole texts."""
+    size, count = params.shingle, params.sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, offsets = word_hashes(batch.column("text"))
             sets = list(_sets(words, offsets, size))
             same = [_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
+            sets = [s for s, ok in zip(sets, same) if ok]
+            nodes = [n for n, ok in zip(batch.column("node").to_pylist(), same) if ok]
+            sketches: list = []
+            ends = np.cumsum([0] + [len(s) for s in sets])
+            first = 0
+            while first < len(sets):  # as many at once as stay in the processor's cache
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + _CELLS)))
+                cells = np.concatenate(sets[first:last])
+                found = _minhashes(cells, ends[first : min(last, len(sets))] - ends[first], count, 1, 64, 8)
+                sketches += found.tolist()
+                first = last
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]
-            ).filter(pa.array(same, pa.bool_()))
+                [
+                    pa.array(nodes, pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array(sketches, pa.list_(pa.int64())),
+                ],
+                names=["node", "shingles", "sketch"],
+            )
 
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text", "digest")
-    return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, shingles binary, sketch array<bigint>").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -205,7 +227,11 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     classes = (
         rows.where("n_shingles > 0 and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature"),
+        )
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = staged(classes, "classes")
@@ -230,44 +256,45 @@ def _roots(docs: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame
     shared = keys.groupBy("key").count().where("count > 1")
     members = staged(keys.join(shared, "key"), "members")
     weights = members.groupBy("node").agg(F.sum(F.col("count") - 1).alias("weight"))
-    members = staged(members.select("key", "node").join(weights, "node"), "members")
-    wanted = classes.join(weights.select("node"), "node", "left_semi").select("node", "doc_id", "digest")
-    sets = staged(_full_sets(docs, wanted, params.shingle), "sets")
-    signed = classes.select("node", "signature")
-
-    ranked = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-    roots, first, last = None, 0, 1
+    met = staged(classes.join(weights, "node"), "met")
+    sets = staged(_full_sets(docs, met.select("node", "doc_id", "digest"), params), "sets")
+    bits = [f"bits_{i}" for i in range(params.sketch // 64)]
+    sketches = sets.select("node", *[F.col("sketch")[i].alias(c) for i, c in enumerate(bits)])
+    known = met.select("node", "n_shingles", "weight").join(sketches, "node")
+    members = members.select("key", "node").join(known, "node")
+
+    of_key = Window.partitionBy("key")
+    same = F.count("*").over(Window.partitionBy("key", "root"))
+    place = F.row_number().over(of_key.orderBy("_same", F.desc("weight"), "node"))
+    roots, hubs_of_key = None, 1
     while True:
         rows = members.withColumn("root", F.col("node"))
         if roots is not None:
             rows = relabel(rows, roots, "root")
-        if first:
-            mixed = rows.groupBy("key").agg(
-                F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")
-            )
-            mixed = mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") > first + 1)).select("key")
-            rows = staged(rows.join(mixed, "key", "left_semi"), "members")
-            if rows.isEmpty():
-                return roots
-            members = rows.drop("root")
-        hubs = rows.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= last)
-        hubs = hubs.where(F.col("place") > first).select(
-            "key", F.col("node").alias("a"), F.col("weight").alias("weight_a"), F.col("root").alias("root_a")
+        rows = rows.select(
+            "*", same.alias("_same"), F.min("root").over(of_key).alias("_lo"), F.max("root").over(of_key).alias("_hi")
         )
-        later = (F.col("weight") < F.col("weight_a")) | (
-            (F.col("weight") == F.col("weight_a")) & (F.col("node") > F.col("a"))
-        )
-        pairs = rows.join(hubs, "key").where(later & (F.col("root") != F.col("root_a")))
-        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(signed.select(F.col("node").alias(side), F.col("signature").alias(f"sig_{side}")), side)
-        close = staged(_close(pairs, params), "pairs")
+        rows = rows.where(F.col("_lo") != F.col("_hi")).withColumn("place", place).drop("_same", "_lo", "_hi")
+        rows = staged(rows, "members")
+        if rows.isEmpty():
+            return roots
+        hubs = rows.where(F.col("place") <= hubs_of_key)
+        hubs = hubs.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n_shingles", "root", "place", *bits)])
+        later = F.col("place") > F.col("place_a")
+        sizes = 100 * F.least("n_shingles", "n_shingles_a") >= params.percent * F.greatest("n_shingles", "n_shingles_a")
+        differing = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in bits]
+        near = sum(differing[1:], differing[0]) <= params.sketch_distance
+        apart = F.col("root") != F.col("root_a")
+        pairs = rows.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & later & apart & sizes & near)
+        close = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
         for side in ("a", "b"):
             close = close.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         links = staged(_confirmed(close, params.percent), "links")
         if not links.isEmpty():
             roots = _merged(roots, links)
-        first, last = last, last * _MORE_HUBS
+        # The hubs have met all others of their keys.
+        members = rows.where(F.col("place") > hubs_of_key).drop("root", "place")
+        hubs_of_key *= _MORE_HUBS
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
