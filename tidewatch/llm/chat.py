@@ -6,7 +6,7 @@ back:
     conversation = BEGIN turn*
     turn         = "[INST] " text " [/INST]"            (user)
                  | "[ANS] " text " </s>"                (assistant)
-                 | "<<SYS:" role ">> " text " <</SYS>>"  (any other role)
+                 | "<<SYS:" role " >> " text " <</SYS>>"  (any other role)
 
 Every turn is rendered, parsed and compared with its source. Where the two differ, the control strings in
 its content are escaped with a backslash, then all that looks like one, and it is tried again, until the
@@ -55,7 +55,7 @@ def _unescape(text: str) -> str:
 def _render(role: str, text: str, level: int) -> str:
     if role in _OPEN:
         return _OPEN[role] + _escape(text, level) + _CLOSE[role]
-    return f"<<SYS:{_escape(role, level)}>> {_escape(text, level)} <</SYS>>"
+    return f"<<SYS:{_escape(role, level)} >> {_escape(text, level)} <</SYS>>"
 
 
 def _content(formatted: str, at: int, close: str) -> tuple[int, int]:
@@ -81,7 +81,7 @@ def parse_turn(formatted: str, at: int = 0) -> tuple[str, str, tuple[int, int],
             return role, _unescape(formatted[start:end]), (start, end), after
     if not formatted.startswith("<<SYS:", at):
         raise NotInGrammar("no turn begins here")
-    end, after = _content(formatted, at + 6, ">>")
+    end, after = _content(formatted, at + 6, " >>")
     role = _unescape(formatted[at + 6 : end])
     if formatted[after : after + 1] != " ":
         raise NotInGrammar("no blank after the role")

@@ -48,7 +48,7 @@ WITH t AS (
   SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), c AS (
   SELECT *, length(x) + len(regexp_extract_all(x, '<s>|</s>|\\[/?INST\\]|\\[ANS\\]|<<SYS:|>>|<</SYS>>'))
-    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 ELSE 18 + length(role) END AS chars
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 ELSE 19 + length(role) END AS chars
   FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
