@@ -41,3 +41,15 @@ def test_arriving_files_match_the_batch_result(spark, tmp_path):
     assert len(expected) > first
     assert sorted(map(tuple, found.collect())) == expected
     assert sum(r[3] for r in expected) > 0
+
+
+def test_a_table_of_part_files_gives_the_whole_signal(spark, tmp_path):
+    from tidewatch.plans import inputs
+    from tidewatch.plans.catalog import QUERIES
+
+    events = inputs.table(spark, "/root/testdata/sf0.001", "events")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    found, expected = (
+        sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) for name in ("live_peak_signal", "peak_signal")
+    )
+    assert found == expected and len(found) > 100

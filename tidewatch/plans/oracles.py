@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.plans import inputs
-from tidewatch.plans.catalog import CROWDED, LIVE_DELAY, PAGE_KEYWORDS, SHOWN, TEXT_KEYWORDS, WIDTH
+from tidewatch.plans.catalog import CROWDED, PAGE_KEYWORDS, SHOWN, TEXT_KEYWORDS, WIDTH
 from tidewatch.params import PeakParams
 from tidewatch.sources.signals import BUCKET_NAMES
 
@@ -273,13 +273,7 @@ ORACLES: dict[str, str] = {
     "peak_signal_influence": with_(TYPES, signals(inputs.INFLUENCED)) + _SIGNAL_ROWS,
     "peak_signal_users": with_(USERS, signals()) + _SIGNAL_ROWS,
     "signal_text_roundtrip": with_(USERS, signals()) + _SIGNAL_ROWS,
-    "live_peak_signal": with_(
-        TYPES.replace("hours AS", "all_hours AS"),
-        f"""hours AS (SELECT * FROM all_hours
-              WHERE ts + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL '{LIVE_DELAY}')""",
-        signals(),
-    )
-    + _SIGNAL_ROWS,
+    "live_peak_signal": with_(TYPES, signals()) + _SIGNAL_ROWS,
     "topic_chart": with_(TYPES, signals())
     + f"""SELECT ROW_NUMBER() OVER (ORDER BY ts) - 1 AS id, views, signal, {ms('ts')} AS time_ms
           FROM signals WHERE topic = 'view'""",

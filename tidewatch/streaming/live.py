@@ -96,14 +96,34 @@ def run_available(stream: DataFrame, folder: str) -> str:
     return f"{folder}/rows"
 
 
-def update_signals(points: DataFrame, folder: str, params: PeakParams, delay: str) -> DataFrame:
+_CLOSING = "topic string, ts timestamp, views double"
+
+
+def update_signals(
+    points: DataFrame, folder: str, params: PeakParams, delay: str, last: bool = False
+) -> DataFrame:
     """Bring hours and signals below ``folder`` up to date with a stream of points.
 
-    Files of hours are read in the order they were written, hence in the order of the hours.
+    Files of hours are read in the order they were written, hence in the order of the hours. An hour
+    comes out once the watermark has passed it. ``last`` says that the input has ended: what has
+    arrived is processed, then a point far in the future, without a topic, closes the hours still open.
+    Points that arrive after that, or later than ``delay``, are dropped; the progress of the query counts
+    them as ``numRowsDroppedByWatermark``.
     """
     spark = points.sparkSession
-    hours = closed_hours(points, delay)
+    end = f"{folder}/closing"
+    spark.createDataFrame([], _CLOSING).write.mode("ignore").parquet(end)
+    kind = points.schema["views"].dataType
+    closing = spark.readStream.schema(_CLOSING).parquet(end).withColumn("views", F.col("views").cast(kind))
+    hours = closed_hours(points.select("topic", "ts", "views").unionByName(closing), delay)
+    # The closing point's own hour never closes, so it needs no filter; one would be moved below the
+    # watermark and hide the point from it.
     hour_rows = run_available(hours, f"{folder}/hours")
+    if last:
+        spark.range(1).selectExpr(
+            "CAST(NULL AS string) AS topic", "timestamp'9000-01-01 00:00:00' AS ts", "0D AS views"
+        ).write.mode("append").parquet(end)
+        run_available(hours, f"{folder}/hours")
     arrived = spark.readStream.schema(hours.schema).parquet(hour_rows)
     signals = live_peaks(arrived.withColumn("views", F.col("views").cast("double")), params)
     return spark.read.schema(_SIGNAL).parquet(run_available(signals, f"{folder}/signals"))
