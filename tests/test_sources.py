@@ -199,3 +199,15 @@ def test_polls(spark, tmp_path):
 
 def test_hours_helper():
     assert hour(0).replace(tzinfo=None) == naive(0)
+
+
+def test_signal_files_are_sorted_by_topic_within_their_day(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = [(f"t{i % 50:02d}", hour(i // 50), 1.0, 0.0) for i in range(1200)]
+    files.write_signals(spark.createDataFrame(rows, "topic string, ts timestamp, views double, signal double"), str(tmp_path / "s"))
+    parts = list((tmp_path / "s").glob("day=*/*.parquet"))
+    assert parts
+    for part in parts:
+        topics = pq.read_table(part, partitioning=None)["topic"].to_pylist()
+        assert topics == sorted(topics)

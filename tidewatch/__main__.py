@@ -24,12 +24,17 @@ def main(argv: list[str] | None = None) -> None:
     detect.add_argument("source")
     detect.add_argument("target")
     detect.add_argument("keywords", nargs="*", help="keep only lines with one of these")
+    detect.add_argument("--densify", action="store_true", help="fill absent hours with 0 views")
+    detect.add_argument("--as-text", action="store_true", help="write text records")
+    detect.add_argument("--peaking-only", action="store_true", help="leave out topics without a peak")
 
     extract = job.add_parser("extract", help="peak signals to spike JSON")
     extract.add_argument("source")
     extract.add_argument("target")
     extract.add_argument("threshold", type=float)
     extract.add_argument("--dates", help="file of event dates")
+    extract.add_argument("--from-text", action="store_true", help="the signals are text records")
+    extract.add_argument("--single-file", action="store_true", help="write one file, by one task")
 
     matrix = job.add_parser("matrix", help="top pages by hour")
     matrix.add_argument("folder")
@@ -46,10 +51,20 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = configure(SparkSession.builder.appName(f"tidewatch {args.job}").getOrCreate())
     if args.job == "detect":
-        jobs.detect_trends(spark, args.source, args.target, keywords=args.keywords or None)
+        jobs.detect_trends(
+            spark,
+            args.source,
+            args.target,
+            keywords=args.keywords or None,
+            densify=args.densify,
+            as_text=args.as_text,
+            peaking_only=args.peaking_only,
+        )
     elif args.job == "extract":
         params = EventParams(views_threshold=args.threshold)
-        jobs.extract_spikes(spark, args.source, args.target, params, args.dates)
+        jobs.extract_spikes(
+            spark, args.source, args.target, params, args.dates, args.from_text, args.single_file
+        )
     elif args.job == "matrix":
         jobs.page_matrix(spark, args.folder, args.first, args.last, args.target)
     else:

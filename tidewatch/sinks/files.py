@@ -13,10 +13,11 @@ def write_signals(signals: DataFrame, path: str, mode: str = "overwrite") -> Non
     """Signals as parquet, one folder per UTC day.
 
     The rebalance lets AQE give every day files of a good size; the day folders let the
-    search around events read only the days it needs (dynamic partition pruning).
+    search around events read only the days it needs (dynamic partition pruning). Within a file rows
+    are sorted by topic, so that a scan for one topic skips the row groups without it.
     """
     by_day = signals.withColumn("day", F.to_date("ts")).hint("rebalance", "day")
-    by_day.write.mode(mode).partitionBy("day").parquet(path)
+    by_day.sortWithinPartitions("day", "topic", "ts").write.mode(mode).partitionBy("day").parquet(path)
 
 
 def signal_text(packed: DataFrame, points: str = "points") -> DataFrame:
@@ -47,12 +48,11 @@ def spike_json(spikes: DataFrame) -> DataFrame:
     return spikes.select(F.to_json(F.struct(*fields)).alias("value"))
 
 
-def write_spikes(spikes: DataFrame, path: str, single_file: bool = True) -> None:
-    """Spikes as JSON lines.
+def write_spikes(spikes: DataFrame, path: str, single_file: bool = False) -> None:
+    """Spikes as JSON lines, a file per task, or one file with ``single_file``.
 
-    ``repartition(1)`` rather than ``coalesce(1)``: the search for spikes keeps its
-    parallelism and only finished lines meet in the writing task. For results too large for
-    one file pass ``single_file=False``.
+    Then ``repartition(1)`` rather than ``coalesce(1)``: the search for spikes keeps its
+    parallelism and only finished lines meet in the writing task.
     """
     lines = spike_json(spikes)
     (lines.repartition(1) if single_file else lines).write.text(path)
