@@ -310,6 +310,37 @@ def test_lm_base_scores_with_rare_tokens(spark, documents):
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens), rel=1e-9)
 
 
+def brute_scores(train: list[str], texts: list[str], least: int, discount: float) -> list[float]:
+    """Backoff scores with all n-grams up to three tokens in dictionaries."""
+    split = lambda t: [*WORD.findall(low(t)), "\n"]
+    c = Counter(tuple(s[i : i + k]) for s in map(split, train) for k in (1, 2, 3) for i in range(len(s) - k + 1))
+    kept = {g: n for g, n in c.items() if len(g) > 1 and n >= least}
+    total, words = sum(n for g, n in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    after: dict = {}
+    for g in kept:
+        after.setdefault(g[:-1], []).append(g)
+    prob = lambda g: (kept[g] - discount) / c[g[:-1]] if g in kept else (c[g] + 1) / (total + words + 1)
+    back = {h: math.log10((1 - sum(map(prob, gs))) / (1 - sum(prob(g[1:]) for g in gs))) for h, gs in after.items()}
+
+    def weight(g: tuple) -> float:
+        return math.log10(prob(g)) if g in kept or len(g) == 1 else back.get(g[:-1], 0.0) + weight(g[1:])
+
+    return [sum(weight(tuple(s[max(0, i - 2) : i + 1])) for i in range(len(s))) for s in map(split, texts)]
+
+
+@pytest.mark.parametrize("share", [1e-2, 1e-4, 0.0])
+def test_lm_keeps_rare_ngrams_of_large_training_data(spark, share):
+    """An n-gram of two places counts however many tokens there are, and whatever part is broadcast."""
+    common = "the cat sat on the mat and " * 3000
+    train = [common, "rare words stand here", "and rare words stand there", "one two", None]
+    texts = ["rare words stand", "the cat sat on rare words", "new rare mat", "", *train[1:4], "stand here the cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, table_ = lm.fit(spark.createDataFrame([(t,) for t in train], "text string"), lm.LmParams(min_share=share, common_share=share))
+    found = {r.doc_id: r.score for r in lm.score(docs, model, table_).collect()}
+    expected = brute_scores([t or "" for t in train], texts, 2, 0.75)
+    assert [found[i] for i in range(len(texts))] == pytest.approx(expected, rel=1e-9, abs=1e-9)
+
+
 def test_lm_beats_its_base_on_held_out_texts(spark):
     rows = QUERIES["op9_lm_scores"](spark, FOLDER.replace("0.001", "0.01")).where("held_out").collect()
     assert sum(r.score for r in rows) > 0.98 * sum(r.base_score for r in rows)

@@ -1,44 +1,47 @@
 """Language-model scores by a weighted backoff automaton.
 
 The model is learnt from the training rows in passes over all of them. Unigrams have add-one
-probabilities. An n-gram of two or more tokens is kept if it makes up at least ``min_share`` of the
-training tokens; so are then all its parts, which is why a pass counts only n-grams whose two
-shorter parts were kept, and none that should be kept is missed. Kept n-grams get discounted
+probabilities. An n-gram of two or more tokens is kept if it occurs at least ``min_count`` times in
+the training rows, whatever their size; so are then all its parts. Kept n-grams get discounted
 relative frequencies, and a context passes the rest on to the next shorter one (backoff).
 
 The automaton's states are the contexts that have kept n-grams, and the empty one. A kept
-n-gram is an arc, weighted with its log probability, to the longest state its tokens end in; a
-failure arc leads from a state to that of its context without the first token, weighted with the
-log backoff. Scoring runs through a text once from left to right, carries the state, follows failure
-arcs until the token has an arc, and adds the weights.
-
-The tables of arcs and of common tokens hold at most ``1 / min_share`` and ``1 / common_share``
-entries whatever the corpus is, and are broadcast. All other tokens, of which there is no bound, have
-no arc: they lead to the empty state, and their unigram counts come by a join on the token.
+n-gram is an arc, weighted with its log probability; a failure arc leads from a state to that of its
+context without the first token, weighted with the log backoff. The weights are pushed along the
+failure arcs: every n-gram of a text adds its backoff, and a kept one also what its arc has more
+than the way over the failure arcs. A text's score is then a sum of independent weights of
+its n-grams, each found by the n-gram's 64-bit hash.
+
+Kept n-grams and tokens are a table, as large as the training rows make it, and are brought to the
+texts by a join on the hash, with the n-grams of a text added up before. The most frequent ones, at
+most ``1 / min_share`` of each order and ``1 / common_share`` tokens, are broadcast as well; a text
+looks them up in its task and leaves only the others to the join.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tables import small_batches
-from tidewatch.llm.words import word_hashes
+from tidewatch.llm.words import constants, mix, word_hashes
 from tidewatch.plans.staging import staged
 
 END = np.uint64(0x0E0D)  # the token after the last word
-_SHIFT = 24
 
 
 @dataclass(frozen=True)
 class LmParams:
     order: int = 3
+    #: Least number of times that a kept n-gram occurs.
+    min_count: int = 2
+    #: Least share of the training tokens of n-grams and of tokens that are broadcast.
     min_share: float = 1e-5
     common_share: float = 1e-6
     discount: float = 0.75
@@ -46,16 +49,22 @@ class LmParams:
 
 @dataclass
 class LmModel:
-    """Counts and the automaton; common tokens are numbered by the sorted ``tokens``."""
+    """Totals, and the frequent part of the automaton; common tokens are numbered by the sorted ``tokens``."""
 
     total: int = 0
     vocabulary: int = 0
+    order: int = 3
     tokens: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    #: (state << _SHIFT | token) -> (weight, next state)
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
-    #: For every state, its failure arc's weight and state; state 0 is the empty context.
-    failure: list[tuple[float, int]] = field(default_factory=lambda: [(0.0, 0)])
+    token_backs: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Hashes of frequent n-grams in order, what each adds as an arc, and its backoff.
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    adds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    backs: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    @property
+    def arcs(self) -> dict[int, tuple[float, float]]:
+        return dict(zip(self.grams.tolist(), zip(self.adds.tolist(), self.backs.tolist())))
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the add-one probabilities of tokens with these counts."""
@@ -63,34 +72,43 @@ class LmModel:
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The numbers of tokens, -1 for those that are not common."""
-        if not len(self.tokens):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == hashes, at, -1)
+        return place(self.tokens, hashes)
 
     def traverse(self, numbers: list[int], weights: list[float]) -> float:
-        """Weights of one text's tokens, without the unigram weight of those numbered -1."""
-        arcs, failure, state, score = self.arcs, self.failure, 0, 0.0
-        for token in numbers:
-            if token < 0:
-                while state:
-                    weight, state = failure[state]
-                    score += weight
-                continue
-            while True:
-                arc = arcs.get(state << _SHIFT | token)
-                if arc is not None:
-                    score += arc[0]
-                    state = arc[1]
-                    break
-                if not state:
-                    score += weights[token]
-                    break
-                weight, state = failure[state]
-                score += weight
+        """Weights of one text's tokens by the frequent part, without the unigram weight of those numbered -1."""
+        numbers, end = np.array(numbers, np.int64), len(numbers)
+        known = numbers >= 0
+        hashes = np.zeros(end, np.uint64)
+        hashes[known] = self.tokens[numbers[known]]
+        score = float(np.array(weights)[numbers[known]].sum()) + float(self.token_backs[numbers[:-1][known[:-1]]].sum())
+        for size in range(2, self.order + 1):
+            last, keys = gram_keys(hashes, np.array([0, end]), size)
+            at = place(self.grams, keys)
+            last, at = last[at >= 0], at[at >= 0]
+            score += float(self.adds[at].sum() + self.backs[at[last < end - 1]].sum())
         return score
 
 
+def place(kept: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys among the sorted ``kept``, -1 for others."""
+    if not len(kept):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
+    return np.where(kept[at] == keys, at, -1)
+
+
+def gram_keys(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last place and the hash of every n-gram of ``size`` tokens within a text; a token is its own hash."""
+    inside = np.arange(len(hashes)) - np.repeat(offsets[:-1], np.diff(offsets))
+    last = np.flatnonzero(inside >= size - 1)
+    if size == 1:
+        return last, hashes
+    out = np.full(len(last), size, np.uint64)
+    for j, factor in enumerate(constants(size, 8)):
+        out += hashes[last - (size - 1) + j] * factor
+    return last, mix(out)
+
+
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with an end token after each text, and their offsets."""
     hashes, offsets = word_hashes(column)
@@ -98,149 +116,100 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ends, offsets + np.arange(len(offsets))
 
 
-def _sums(counted: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found = np.concatenate(counted) if counted else np.zeros(0, np.uint64)
-    return np.unique(found, return_counts=True)
-
-
 _ROOM = 1 << 22
 
 
-def _count(training: DataFrame, keys: Callable) -> DataFrame:
-    """Counts of what ``keys(numbers, offsets)`` gives of each batch, added up in the tasks first."""
+def _count(training: DataFrame, order: int) -> DataFrame:
+    """``key, size, context, tail, n`` of all n-grams up to ``order`` tokens, added up in the tasks first.
+
+    ``context`` and ``tail`` are the keys of the n-gram without its last and without its first token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(order)]
+        room = 0
         for batch in batches:
-            found = keys(*_tokens(batch.column("text")))
-            held.append(found)
-            size += len(found)
-            if size > _ROOM:
-                yield pack(held)
-                held, size = [], 0
-        if held:
-            yield pack(held)
-
-    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, many = _sums(held)
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], names=["token", "n"])
-
-    counted = training.select("text").mapInArrow(run, "token long, n long")
-    return counted.groupBy("token").agg(F.sum("n").alias("n"))
+            hashes, offsets = _tokens(batch.column("text"))
+            before = np.zeros(0, np.uint64)
+            for size in range(1, order + 1):
+                last, keys = gram_keys(hashes, offsets, size)
+                whole = np.zeros(len(hashes), np.uint64)
+                whole[last] = keys
+                if size == 1:
+                    held[0].append((keys, np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)))
+                else:
+                    held[size - 1].append((keys, before[last - 1], before[last]))
+                before = whole
+                room += len(keys)
+            if room > _ROOM:
+                yield from pack(held)
+                held, room = [[] for _ in range(order)], 0
+        if room:
+            yield from pack(held)
+
+    def pack(held: list[list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+        for size, parts in enumerate(held, 1):
+            keys, context, tail = (np.concatenate(x) for x in zip(*parts))
+            keys, first, many = np.unique(keys, return_index=True, return_counts=True)
+            columns = [keys.view(np.int64), context[first].view(np.int64), tail[first].view(np.int64), many]
+            made = [pa.array(c) for c in columns] + [pa.array(np.full(len(keys), size, np.int32))]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "context", "tail", "n", "size"])
+
+    counted = training.select("text").mapInArrow(run, "key long, context long, tail long, n long, size int")
+    return counted.groupBy("key", "size").agg(F.first("context").alias("context"), F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 def fit(training: DataFrame, params: LmParams = LmParams()) -> tuple[LmModel, DataFrame]:
-    """The model of all rows of ``training`` (``text``; null counts as empty), and the counts of
-    its tokens (``token, n``), a table as large as the vocabulary."""
+    """The totals and frequent part of the model of all rows of ``training`` (``text``; null counts as
+    empty), and the whole of it (``key, size, n, add, back``), a table as large as its vocabulary and kept n-grams."""
     small_batches(training.sparkSession)
-    counts = staged(_count(training, lambda hashes, offsets: hashes), "tokens")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = LmModel(total, vocabulary)
-    if not total:
-        return model, counts
-    common = counts.where(F.col("n") >= params.common_share * total).toPandas()  # at most 1 / common_share
-    tokens = common["token"].to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    model.tokens, model.counts = tokens[order], common["n"].to_numpy()[order]
-
-    # Kept n-grams of one order as (context number, token) keys; the number of an n-gram is its place.
-    floor = params.min_share * total
-    kept = [np.where(model.counts >= floor)[0].astype(np.int64)]
-    sums: list[np.ndarray] = [model.counts[kept[0]]]
-    spark = training.sparkSession
+    kept = staged(_count(training, params.order).where((F.col("size") == 1) | (F.col("n") >= params.min_count)), "grams")
+    words = kept.where("size = 1")
+    total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    model = LmModel(total, vocabulary, params.order)
+    level = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(total + vocabulary + 1))).alias("prob"), F.lit(0.0).alias("add"))
+    parts = []
     for size in range(2, params.order + 1):
-        shared = spark.sparkContext.broadcast((model, kept))
-
-        def keys(hashes: np.ndarray, offsets: np.ndarray, shared=shared, size=size) -> np.ndarray:
-            model, kept = shared.value
-            return candidates(model.number(hashes), offsets, kept, size)
-
-        found = _count(training, keys).where(F.col("n") >= floor).toPandas()  # at most 1 / min_share
-        grams = found["token"].to_numpy()
-        order = np.argsort(grams)
-        kept.append(grams[order])
-        sums.append(found["n"].to_numpy()[order])
-        if not len(grams):
-            break
-    build(model, kept, sums, params)
-    return model, counts
-
-
-def place(kept: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys among the sorted ``kept``, -1 for others."""
-    if not len(kept):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
-    return np.where(kept[at] == keys, at, -1)
+        level, contexts = _level(kept.where(F.col("size") == size), level, params, parts, size)
+    parts.append(level.select("key", F.lit(params.order).alias("size"), "n", "add", F.lit(0.0).alias("back")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    table = staged(whole, "model")
+    fields = ["key", "n", "add", "back"]
+    common = table.where((F.col("size") == 1) & (F.col("n") >= params.common_share * total)).select(fields).toPandas()  # at most 1 / common_share
+    frequent = table.where((F.col("size") > 1) & (F.col("n") >= params.min_share * total)).select(fields).toPandas()  # at most 1 / min_share an order
+    for found, names in ((common, ("tokens", "counts", "", "token_backs")), (frequent, ("grams", "", "adds", "backs"))):
+        keys = found["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        for name, values in zip(names, (keys, found["n"].to_numpy(), found["add"].to_numpy(), found["back"].to_numpy())):
+            if name:
+                setattr(model, name, values[order])
+    return model, table
+
+
+def _level(grams: DataFrame, below: DataFrame, params: LmParams, parts: list[DataFrame], size: int) -> tuple[DataFrame, DataFrame]:
+    """The n-grams of one order with their probability and what they add, and the backoffs of their contexts.
+
+    ``below`` has the next shorter n-grams; with their backoffs they are appended to ``parts``.
+    """
+    wholes = below.select(F.col("key").alias("context"), F.col("n").alias("whole"))
+    lowers = below.select(F.col("key").alias("tail"), F.col("prob").alias("lower"))
+    joined = grams.select("key", "context", "tail", "n").join(wholes, "context").join(lowers, "tail")
+    made = staged(joined.select("key", "context", "n", ((F.col("n") - params.discount) / F.col("whole")).alias("prob"), "lower"), "arcs")
+    least = lambda x: F.greatest(x, F.lit(1e-12))
+    back = F.log10(least(1 - F.sum("prob")) / least(1 - F.sum("lower")))
+    contexts = staged(made.groupBy("context").agg(back.alias("back")), "backoffs")
+    parts.append(
+        below.join(contexts.withColumnRenamed("context", "key"), "key", "left").select(
+            "key", F.lit(size - 1).alias("size"), "n", "add", F.coalesce("back", F.lit(0.0)).alias("back")
+        )
+    )
+    add = F.log10("prob") - F.col("back") - F.log10("lower")
+    return made.join(contexts, "context").select("key", "n", "prob", add.alias("add")), contexts
 
 
-def candidates(numbers: np.ndarray, offsets: np.ndarray, kept: list[np.ndarray], size: int) -> np.ndarray:
-    """The n-grams of ``size`` tokens whose first and last size - 1 tokens are kept, as keys
-    ``place of the first size - 1 << _SHIFT | number of the last token``."""
-    at = place(kept[0], numbers)  # of the n-gram that ends at each token
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for k in range(1, size):
-        before = np.concatenate([[-1], at[:-1]])
-        inside = np.concatenate([[False], doc[1:] == doc[:-1]])
-        if k == size - 1:
-            good = inside & (before >= 0) & (at >= 0)
-            return ((before[good].astype(np.int64) << _SHIFT) | numbers[good]).view(np.uint64)
-        key = np.where(inside & (before >= 0) & (numbers >= 0), (before.astype(np.int64) << _SHIFT) | numbers, -1)
-        at = place(kept[k], key)
-    return np.zeros(0, np.uint64)
-
-
-def build(model: LmModel, kept: list[np.ndarray], sums: list[np.ndarray], params: LmParams) -> None:
-    """States and arcs from the kept n-grams; the shorter orders first, so that backoffs can look down."""
-    unigram = model.unigram(model.counts)
-    grams: list[list[tuple[int, ...]]] = [[(int(t),) for t in kept[0]]]
-    for keys in kept[1:]:
-        grams.append([grams[-1][int(k) >> _SHIFT] + (int(k) & ((1 << _SHIFT) - 1),) for k in keys])
-    states: dict[tuple[int, ...], int] = {(): 0}
-    count = {g: int(n) for level, many in zip(grams, sums) for g, n in zip(level, many)}
-    for level in grams[1:]:
-        for gram in level:
-            if gram[:-1] not in states:
-                states[gram[:-1]] = len(states)
-    model.failure = [(0.0, 0)] * len(states)
-    prob: dict[tuple[int, ...], float] = {}
-
-    def lower(gram: tuple[int, ...]) -> float:
-        """The probability of a gram's last token after its context."""
-        if gram in prob:
-            return prob[gram]
-        if len(gram) == 1:
-            return 10 ** float(unigram[gram[0]])
-        weight = model.failure[states[gram[:-1]]][0] if gram[:-1] in states else 0.0
-        return 10**weight * lower(gram[1:])
-
-    def longest(gram: tuple[int, ...]) -> int:
-        while gram not in states:
-            gram = gram[1:]
-        return states[gram]
-
-    for level in grams[1:]:
-        by_context: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
-        for gram in level:
-            by_context.setdefault(gram[:-1], []).append(gram)
-        for context, followers in by_context.items():
-            whole = count[context]
-            made = {g: (count[g] - params.discount) / whole for g in followers}
-            rest = 1.0 - sum(made.values())
-            below = 1.0 - sum(lower(g[1:]) for g in followers)
-            model.failure[states[context]] = (math.log10(max(rest, 1e-12) / max(below, 1e-12)), longest(context[1:]))
-            prob.update(made)
-    for level in grams[1:]:
-        for gram in level:
-            arc = (math.log10(prob[gram]), longest(gram if len(gram) < params.order else gram[1:]))
-            model.arcs[states[gram[:-1]] << _SHIFT | gram[-1]] = arc
-    for (token,) in grams[0]:
-        if (token,) in states:
-            model.arcs[token] = (float(unigram[token]), states[(token,)])
-
-
-def score(docs: DataFrame, model: LmModel, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: LmModel, table: DataFrame) -> DataFrame:
     """``docs`` without ``text``, and ``n_tokens, n_known, train_tokens, base_score, score`` of each row.
 
     ``base_score`` adds the unigram weights of all tokens, ``score`` those of the automaton. A null
@@ -249,62 +218,72 @@ def score(docs: DataFrame, model: LmModel, counts: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != "text"]
+    made = "n_tokens long, _known long, _base double, _score double"
+    names = [*keep, "n_tokens", "_known", "_base", "_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         weights = model.unigram(model.counts)
-        listed = weights.tolist()
+        seen = TaskContext.get().partitionId() << 33
         for batch in batches:
+            many = batch.num_rows
             hashes, offsets = _tokens(batch.column("text"))
+            owner = np.repeat(np.arange(many), np.diff(offsets))
             numbers = model.number(hashes)
             common = numbers >= 0
-            base = np.concatenate([[0.0], np.cumsum(np.where(common, weights[numbers] if len(weights) else 0.0, 0.0))])
-            known = np.concatenate([[0], np.cumsum(common)])
-            every = numbers.tolist()
-            scores = [model.traverse(every[a:b], listed) for a, b in zip(offsets[:-1], offsets[1:])]
-            # The rare tokens of each text, each with its number of places.
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[~common]
-            rare = hashes[~common]
-            order = np.lexsort((rare, owner))
-            rare, owner = rare[order], owner[order]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
+            known = np.bincount(owner[common], minlength=many)
+            base = np.bincount(owner[common], weights[numbers[common]], many).astype(float)  # integers where nothing is added
+            added = base + np.bincount(owner[common], model.token_backs[numbers[common]], many)
+            rest = [(owner[~common], hashes[~common], np.ones(len(hashes) - common.sum(), bool))]
+            for size in range(2, model.order + 1):
+                last, keys = gram_keys(hashes, offsets, size)
+                at = place(model.grams, keys)
+                here = at >= 0
+                # No n-gram goes on after the end token, so its backoff is 0.
+                added += np.bincount(owner[last[here]], (model.adds + model.backs)[at[here]], many)
+                rest.append((owner[last[~here]], keys[~here], np.zeros(len(keys) - here.sum(), bool)))
+            # What is left to the join: the others of each text, each with its number of places.
+            owners, keys, word = (np.concatenate(x) for x in zip(*rest))
+            order = np.lexsort((keys, owners))
+            owners, keys, word = owners[order], keys[order], word[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
             first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(rare)))
-            ends = np.searchsorted(owner[first], np.arange(batch.num_rows + 1))
-            lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+            times = np.diff(np.append(first, len(keys)))
+            ids = np.arange(seen, seen + many)
+            seen += many
+            # A row of each text itself, under a key of its own that spreads the texts, and the rows of its n-grams.
             columns = [batch.column(c) for c in keep]
+            columns += [pa.array(c) for c in (np.diff(offsets), known.astype(np.int64), base, added)]
+            texts = pa.StructArray.from_arrays(columns, names=names)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *columns,
-                    pa.array(np.diff(offsets), pa.int64()),
-                    pa.array(known[offsets[1:]] - known[offsets[:-1]], pa.int64()),
-                    pa.array(base[offsets[1:]] - base[offsets[:-1]]),
-                    pa.array(scores, pa.float64()),
-                    lists(rare[first].view(np.int64), pa.int64()),
-                    lists(many, pa.int32()),
+                    pa.array(np.concatenate([ids, ids[owners[first]]])),
+                    pa.array(np.concatenate([mix(ids.astype(np.uint64)), keys[first]]).view(np.int64)),
+                    pa.array(np.concatenate([np.zeros(many, np.int32), times.astype(np.int32)])),
+                    pa.array(np.concatenate([np.zeros(many, bool), word[first]])),
+                    pa.concat_arrays([texts, pa.nulls(len(first), texts.type)]),
                 ],
-                names=[*keep, "n_tokens", "_known", "_base", "_score", "_rare", "_many"],
+                names=["_row", "key", "times", "word", "text"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    made = "n_tokens long, _known long, _base double, _score double, _rare array<long>, _many array<int>"
-    rows = docs.select(*keep, "text").mapInArrow(run, f"{fields}, {made}").withColumn("_row", F.monotonically_increasing_id())
-    rows = staged(rows, "scored")
-    rare = rows.select("_row", F.explode(F.arrays_zip("_rare", "_many")).alias("r"))
-    rare = rare.select("_row", F.col("r._rare").alias("token"), F.col("r._many").alias("many"))
-    known = rare.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    weight = F.log10((F.col("n") + 1) / F.lit(float(model.total + model.vocabulary + 1)))
-    added = known.groupBy("_row").agg(
-        F.sum(weight * F.col("many")).alias("_add"),
-        F.sum(F.when(F.col("n") > 0, F.col("many")).otherwise(0)).alias("_also"),
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    inner = ", ".join(x for x in (fields, made.replace(" ", ": ").replace(",: ", ", ")) if x)
+    rows = docs.select(*keep, "text").mapInArrow(run, f"_row long, key long, times int, word boolean, text struct<{inner}>")
+    found = rows.join(table.select("key", "n", (F.col("add") + F.col("back")).alias("weight")), "key", "left")
+    n = F.coalesce("n", F.lit(0))
+    single = F.col("times") * F.log10((n + 1) / F.lit(float(model.total + model.vocabulary + 1)))
+    sums = found.groupBy("_row").agg(
+        *[F.first(F.col("text").getField(c), ignorenulls=True).alias(c) for c in names],
+        F.sum(F.when(F.col("word"), single).otherwise(0.0)).alias("_single"),
+        F.sum(F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("_more"),
+        F.sum(F.when(F.col("word") & (n > 0), F.col("times")).otherwise(0)).alias("_also"),
     )
-    more = F.coalesce("_add", F.lit(0.0))
-    return rows.drop("_rare", "_many").join(added, "_row", "left").select(
+    return sums.select(
         *keep,
         "n_tokens",
-        (F.col("_known") + F.coalesce("_also", F.lit(0))).alias("n_known"),
+        (F.col("_known") + F.col("_also")).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("_base") + more).alias("base_score"),
-        (F.col("_score") + more).alias("score"),
+        (F.col("_base") + F.col("_single")).alias("base_score"),
+        (F.col("_score") + F.col("_single") + F.col("_more")).alias("score"),
     )
