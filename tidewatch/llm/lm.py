@@ -232,7 +232,9 @@ def score(docs: DataFrame, model: LmModel, table: DataFrame) -> DataFrame:
             numbers = model.number(hashes)
             common = numbers >= 0
             known = np.bincount(owner[common], minlength=many)
-            base = np.bincount(owner[common], weights[numbers[common]], many).astype(float)  # integers where nothing is added
+            # The others count as unseen here; the join adds what their counts make of it.
+            weight = np.where(common, weights[numbers] if len(weights) else 0.0, model.unigram(np.zeros(1))[0])
+            base = np.bincount(owner, weight, many).astype(float)  # integers where nothing is added
             added = base + np.bincount(owner[common], model.token_backs[numbers[common]], many)
             rest = [(owner[~common], hashes[~common], np.ones(len(hashes) - common.sum(), bool))]
             for size in range(2, model.order + 1):
@@ -271,13 +273,14 @@ def score(docs: DataFrame, model: LmModel, table: DataFrame) -> DataFrame:
     inner = ", ".join(x for x in (fields, made.replace(" ", ": ").replace(",: ", ", ")) if x)
     rows = docs.select(*keep, "text").mapInArrow(run, f"_row long, key long, times int, word boolean, text struct<{inner}>")
     found = rows.join(table.select("key", "n", (F.col("add") + F.col("back")).alias("weight")), "key", "left")
-    n = F.coalesce("n", F.lit(0))
-    single = F.col("times") * F.log10((n + 1) / F.lit(float(model.total + model.vocabulary + 1)))
+    # An n-gram that is not kept adds nothing, and goes no further.
+    found = found.where("n is not null or text is not null")
+    single = F.when(F.col("word"), F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).otherwise(0.0)
     sums = found.groupBy("_row").agg(
         *[F.first(F.col("text").getField(c), ignorenulls=True).alias(c) for c in names],
-        F.sum(F.when(F.col("word"), single).otherwise(0.0)).alias("_single"),
+        F.sum(single).alias("_single"),
         F.sum(F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("_more"),
-        F.sum(F.when(F.col("word") & (n > 0), F.col("times")).otherwise(0)).alias("_also"),
+        F.sum(F.when(F.col("word") & F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_also"),
     )
     return sums.select(
         *keep,
