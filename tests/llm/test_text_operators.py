@@ -188,6 +188,23 @@ def test_reparameterised_questions(spark, text, hit, verbatim):
     assert decontaminate.decontaminate(docs, items).count() == (0 if hit else 1)
 
 
+LONG = " ".join(f"{a}{b}" for a in "kalo mire sunt dova peli rano tiku vesa".split() for b in "abcdefghijklmnopqrstuvwxy")
+
+
+@pytest.mark.parametrize(
+    "item, text",
+    [
+        (ITEM, f"Before it. {ITEM.replace('before it', 'before then it')} and more after"),  # one token put in
+        (ITEM, f"Before it. {ITEM.replace('before it', 'it')} and more after"),  # one left out
+        (LONG, f"Before it. {' '.join(LONG.split()[70:120])} and more after"),  # 50 words of 200
+    ],
+)
+def test_leaks_with_shifts_and_passages(spark, item, text):
+    docs = spark.createDataFrame([(1, text), (2, " ".join(LONG.split()[70:90]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()] == [(1, 7)]
+
+
 def test_leaks_against_a_search(spark, documents):
     items = {r.item_id: r.text for r in table(spark, FOLDER, "benchmark").collect()}
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))

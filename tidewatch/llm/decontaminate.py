@@ -3,10 +3,11 @@
 Texts become template tokens: words in lower case, and typed placeholders for numbers, units and
 names (a capitalised word inside a sentence), whose values are kept aside as slots. Windows of
 template tokens of documents and benchmark items meet in a hash join, so a question matches with
-other numbers or names in it. Matches on one diagonal (the item's start in the document) are put
-together; where slots differ, the values must map consistently: the same value of the item
-always to the same value of the document, and different ones to different ones. A document is
-contaminated by an item if enough of the item's windows match and the slots are consistent.
+other numbers or names in it. Matches on one diagonal (the item's start in the document), and those
+on diagonals near each other, as tokens put in or left out give them, are put together; where slots
+differ, the values must map consistently: the same value of the item always to the same value of the
+document, and different ones to different ones. A document is contaminated by an item if enough of
+the item matches, or a passage of fixed length of it, and the slots are consistent.
 
 Only windows that pass a Bloom filter of the benchmark leave a document's task. The filter has a
 fixed size; a larger benchmark lets more windows through to the join, which decides exactly.
@@ -49,8 +50,12 @@ _HASHES = 3
 @dataclass(frozen=True)
 class LeakParams:
     window: int = 8
-    #: Least part of an item's windows that a document must hold on one diagonal.
+    #: Least part of an item that a document must hold; tokens in matched windows, ``window`` - 1 less on both sides.
     covered: float = 0.5
+    #: Tokens of an unbroken passage that is enough whatever part of the item it is.
+    passage: int = 40
+    #: Diagonals at most so far apart are put together.
+    shift: int = 8
     #: Least number of tokens of a window that are plain words, lest placeholders alone match.
     plain: int = 4
 
@@ -187,8 +192,8 @@ def bloom_filter(hashes: DataFrame):
 def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """``doc_id, item_id, start, n_windows, covered, verbatim`` of each document that holds an item.
 
-    One row per document and item, of the diagonal that covers most: ``start`` is the token at
-    which the item would begin, ``covered`` the part of its windows found, and ``verbatim`` tells
+    One row per document and item, of the diagonal or the near diagonals that cover most: ``start`` is
+    the token at which the item would begin, ``covered`` the part of it found, and ``verbatim`` tells
     whether all slots found have the item's own values. Texts without tokens, and nulls, match
     nothing; an item shorter than a window matches as a whole where a document is no longer
     than it. Rows without an id are left out. Items of equal text all match; repeated rows count once.
@@ -206,21 +211,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
     matches = found.join(wanted, "hash").select(
         "doc_id", "item_id", (F.col("at") - F.col("start")).alias("diagonal"), "start", "many", pairs.alias("pairs")
     )
-    # A diagonal holds at most one match per window of the item.
-    held = matches.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.countDistinct("start").alias("n_windows"),
+    # Besides, two bandings of diagonals; diagonals up to ``shift`` apart share a band of one of them.
+    width = 2 * params.shift
+    bands = [F.struct(F.lit(k).alias("kind"), F.floor((F.col("diagonal") + k * params.shift) / width).alias("at")) for k in (0, 1)]
+    own = F.struct(F.lit(2).alias("kind"), F.col("diagonal").alias("at"))
+    matches = matches.withColumn("group", F.explode(F.array(*bands, own)))
+    held = matches.groupBy("doc_id", "item_id", "group").agg(
+        F.min("diagonal").alias("diagonal"),
+        F.array_sort(F.collect_set("start")).alias("starts"),
         F.max("many").alias("many"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     one_way = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda s: s[side])))
-    held = held.withColumn("covered", F.col("n_windows") / F.col("many")).where(
-        (F.col("covered") >= params.covered)
+    size = F.lit(params.window).cast("long")
+
+    def longer(held, start):
+        """Tokens within windows, of the unbroken run that ends here and of the longest, with one window more."""
+        gap = start - held["last"]
+        run = F.when(gap <= size, held["run"] + gap).otherwise(size)
+        return F.struct(
+            start.alias("last"), (held["tokens"] + F.least(gap, size)).alias("tokens"), run.alias("run"), F.greatest(held["most"], run).alias("most")
+        )
+
+    first = F.struct(F.col("starts")[0].alias("last"), size.alias("tokens"), size.alias("run"), size.alias("most"))
+    held = held.withColumn("spans", F.aggregate(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), first, longer))
+    held = held.withColumn("n_windows", F.size("starts").cast("long"))
+    held = held.withColumn("covered", (F.col("spans.tokens") - size + 1) / F.col("many")).where(
+        ((F.col("covered") >= params.covered) | ((F.col("group.kind") == 2) & (F.col("spans.most") >= params.passage)))
         & (F.size("pairs") == one_way("ours"))
         & (F.size("pairs") == one_way("theirs"))
     )
     verbatim = F.forall("pairs", lambda s: s["ours"] == s["theirs"])
     best = held.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("covered", (-F.col("diagonal")).alias("_d"), "n_windows", verbatim.alias("verbatim"))).alias("b")
+        F.max(F.struct("covered", "group.kind", (-F.col("diagonal")).alias("_d"), "n_windows", verbatim.alias("verbatim"))).alias("b")
     )
     return best.select(
         "doc_id", "item_id", (-F.col("b._d")).alias("start"), "b.n_windows", "b.covered", "b.verbatim"
