@@ -205,6 +205,22 @@ def test_leaks_with_shifts_and_passages(spark, item, text):
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()] == [(1, 7)]
 
 
+def test_leaks_of_short_items_and_of_items_poor_in_words(spark):
+    numbers = "12 kg 7 m 3 cm 45 s 9 km 61 g 5 ml 8 mm 2 km 77 percent"
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, numbers)], "item_id long, text string")
+    around = "Many words stand here before it, {} and many more words stand here after it"
+    docs = spark.createDataFrame(
+        [
+            (1, around.format("what is the capital of France?")),
+            (2, around.format(numbers)),
+            (3, around.format(numbers.replace("7", "4").replace("2", "6").replace("5", "1"))),
+            (4, around.format("what is the price of bread?")),
+        ],
+        "doc_id long, text string",
+    )
+    assert {(r.doc_id, r.item_id, r.covered) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1, 1.0), (2, 2, 1.0)}
+
+
 def test_leaks_against_a_search(spark, documents):
     items = {r.item_id: r.text for r in table(spark, FOLDER, "benchmark").collect()}
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))

@@ -56,7 +56,7 @@ class LeakParams:
     passage: int = 40
     #: Diagonals at most so far apart are put together.
     shift: int = 8
-    #: Least number of tokens of a window that are plain words, lest placeholders alone match.
+    #: Least number of plain words of a window, lest placeholders alone match; one with fewer must have equal values.
     plain: int = 4
 
 
@@ -105,21 +105,29 @@ class Template:
         self.codes = np.select([number, unit, name], list(_PLACEHOLDERS), found.hashes)
         self._found = found
 
-    def windows(self, params: LeakParams) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of each window with enough plain words; a shorter text is one window."""
+    def windows(self, params: LeakParams, lengths: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token, number of tokens and hash of each window; a shorter text is one window.
+
+        With ``lengths``, those below a window's, there are windows of each of these lengths instead.
+        """
         size, counts = params.window, np.diff(self.offsets)
         left = np.repeat(self.offsets[1:], counts) - np.arange(len(self.codes))
-        first = np.arange(len(self.codes)) == np.repeat(self.offsets[:-1], counts)
-        starts = np.flatnonzero((left >= size) | first)
-        room = np.minimum(left[starts], size)
+        if lengths is None:
+            first = np.arange(len(self.codes)) == np.repeat(self.offsets[:-1], counts)
+            starts = np.flatnonzero((left >= size) | first)
+            room = np.minimum(left[starts], size)
+        else:
+            found = [(np.flatnonzero(left >= n), n) for n in [size, *lengths]]
+            starts = np.concatenate([x for x, _ in found])
+            room = np.repeat([n for _, n in found], [len(x) for x, _ in found])
         sums = np.concatenate([[0], np.cumsum(self.plain)])
         enough = sums[starts + room] - sums[starts] >= np.minimum(params.plain, room)
-        starts, room = starts[enough], room[enough]
-        padded = np.concatenate([self.codes, np.zeros(size, np.uint64)])
+        # A window poor in plain words stands with its values, and so meets its like only.
+        typed, exact = (np.concatenate([x, np.zeros(size, np.uint64)]) for x in (self.codes, self._found.hashes))
         out = np.zeros(len(starts), np.uint64)
         for j, factor in enumerate(constants(size, 6)):
-            out += np.where(room > j, padded[starts + j] * factor, np.uint64(0))
-        return starts, mix(out + room.astype(np.uint64))
+            out += np.where(room > j, np.where(enough, typed[starts + j], exact[starts + j]) * factor, np.uint64(0))
+        return starts, room, mix(out + room.astype(np.uint64))
 
     def slots(self, start: int, end: int) -> list[str | None]:
         found = self._found
@@ -132,30 +140,28 @@ def _places(hashes: np.ndarray) -> np.ndarray:
     return np.stack([(hashes + steps * np.uint64(i)) % np.uint64(_BITS) for i in range(_HASHES)])
 
 
-def windows(texts: DataFrame, key: str, params: LeakParams, bloom=None) -> DataFrame:
+def windows(texts: DataFrame, key: str, params: LeakParams, bloom=None, lengths: list[int] | None = None) -> DataFrame:
     """``key, start, hash, slots, many`` of the windows of ``texts``; ``many`` windows a text has.
 
     ``slots`` are the values of the window's tokens, null for plain words. ``bloom`` is a
-    broadcast filter; windows outside it are left out.
+    broadcast filter; windows outside it are left out. ``lengths`` are those of shorter windows.
     """
-    size = params.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bloom is None else np.frombuffer(bloom.value, np.uint8)
         for batch in batches:
             made = Template(batch.column("text"))
-            starts, hashes = made.windows(params)
+            starts, room, hashes = made.windows(params, lengths)
             owner = np.searchsorted(made.offsets, starts, "right") - 1
             many = np.bincount(owner, minlength=batch.num_rows)
             if bits is not None and len(starts):
                 at = _places(hashes)
                 inside = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
                 inside = inside.astype(bool).all(axis=0)
-                starts, hashes, owner = starts[inside], hashes[inside], owner[inside]
+                starts, room, hashes, owner = starts[inside], room[inside], hashes[inside], owner[inside]
             names, rows = batch.column(key).to_pylist(), []
-            for start, code, i in zip(starts.tolist(), hashes.view(np.int64).tolist(), owner.tolist()):
-                end = min(start + size, int(made.offsets[i + 1]))
-                rows.append((names[i], start - int(made.offsets[i]), code, made.slots(start, end), int(many[i])))
+            for start, tokens, code, i in zip(starts.tolist(), room.tolist(), hashes.view(np.int64).tolist(), owner.tolist()):
+                rows.append((names[i], start - int(made.offsets[i]), code, made.slots(start, start + tokens), int(many[i])))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
@@ -195,13 +201,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams
     One row per document and item, of the diagonal or the near diagonals that cover most: ``start`` is
     the token at which the item would begin, ``covered`` the part of it found, and ``verbatim`` tells
     whether all slots found have the item's own values. Texts without tokens, and nulls, match
-    nothing; an item shorter than a window matches as a whole where a document is no longer
-    than it. Rows without an id are left out. Items of equal text all match; repeated rows count once.
+    nothing; an item shorter than a window matches as a whole, anywhere in a document. Rows without an id are left out. Items of equal text all match; repeated rows count once.
     """
     small_batches(docs.sparkSession)
     items = staged(windows(benchmark.where("item_id is not null"), "item_id", params), "items")
     bloom = bloom_filter(items)
-    found = windows(docs.where("doc_id is not null"), "doc_id", params, bloom).select(
+    short = items.select(F.size("slots").alias("n")).where(F.col("n") < params.window).distinct()
+    lengths = sorted(r["n"] for r in short.collect())  # fewer than a window's
+    found = windows(docs.where("doc_id is not null"), "doc_id", params, bloom, lengths).select(
         F.col("key").alias("doc_id"), F.col("start").alias("at"), "hash", F.col("slots").alias("theirs")
     )
     wanted = items.select(F.col("key").alias("item_id"), "start", "hash", F.col("slots").alias("ours"), "many").distinct()
