@@ -185,3 +185,10 @@ def test_pages_of_the_table(spark):
     odd = spark.createDataFrame([(1, None, None, 3), (1, "u", "", 4)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in extract.extract(odd).collect()] == [("", 0), ("", 0)]
     assert extract.extract(odd.where("false")).count() == 0
+
+
+def test_names_are_found_anywhere_in_attributes():
+    utility = " ".join(f"{a}-{b}" for a in ("flex", "px", "md", "row") for b in ("aa", "bb", "cc", "dd"))
+    for attrs in (f"style='{'x' * 5000}' class='sidebar'", f"class='{utility} sidebar'"):
+        page = extract.parse_page(f"<body><div {attrs}>text</div></body>")
+        assert "sidebar" in page.names[page.tag.index("div")]

@@ -24,6 +24,7 @@ from tidewatch.llm.labelled_pages import labelled_pages
 from tidewatch.llm.tables import small_batches
 
 TRAINING_PAGES = 600
+_CACHED = 1000  # characters of the attributes that a task remembers at most
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>\"'<]*)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -79,15 +80,19 @@ class Page:
         return len(self.parent) - 1
 
 
-@lru_cache(maxsize=20_000)
 def _attributes(attrs: str) -> tuple[tuple[str, ...], bool]:
+    return _read_attributes(attrs) if len(attrs) <= _CACHED else _read_attributes.__wrapped__(attrs)
+
+
+@lru_cache(maxsize=20_000)
+def _read_attributes(attrs: str) -> tuple[tuple[str, ...], bool]:
     names: list[str] = []
     marked = False
-    for key, *values in _ATTRIBUTE.findall(attrs[:2000]):
+    for key, *values in _ATTRIBUTE.findall(attrs):
         if key.lower() == "data-content":
             marked = True
         else:
-            names += [n.lower() for n in _NAME.findall("".join(values))][:12]
+            names += [n.lower() for n in _NAME.findall("".join(values))]
     return tuple(dict.fromkeys(names)), marked
 
 
