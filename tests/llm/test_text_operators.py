@@ -423,3 +423,11 @@ def test_language_id_of_odd_rows(spark, odd):
     assert {r.lang_pred for r in lang_id.predict(odd, nothing).collect()} == {"und"}
     # An unseen word is scored by its n-grams.
     assert lang_id.predict_text(model, "chatte")[0] == "fr" and lang_id.predict_text(model, "dogs")[0] == "en"
+
+
+def test_long_words_are_scored_whole(spark):
+    taught = [("fr", "chat chien"), ("en", "walk with")] * 3
+    model = lang_id.fit(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(taught)], "doc_id long, text string, lang string"))
+    word = "walk" * 20 + "chatchien" * 5000 + "with" * 20  # its ends are of the other language
+    assert lang_id.predict_text(model, word)[0] == "fr"
+    assert lang_id.predict_text(model, word + " walk with")[0] == "fr"  # it weighs by its length

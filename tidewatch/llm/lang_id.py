@@ -2,7 +2,8 @@
 
 A known word scores by its log frequency in each language. A word that no language has often
 enough is scored by its character n-grams of the longest length of which one is known, down to
-single characters. Scores add up over the whole text.
+single characters; it weighs as one word, and a longer one by its length, as scripts without blanks
+make whole passages words. Scores add up over the whole text.
 
 The model is fitted on at most about ``sample`` labelled rows, chosen by a hash of text and id,
 and keeps only words and n-grams that make up at least ``min_share`` of a language's, so it has
@@ -27,7 +28,8 @@ from tidewatch.llm.tables import small_batches
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-_LONG = 64
+_PIECE = 24  # letters of a longer unseen word that weigh as one word
+_CACHED = 128  # letters of the longest word a task remembers
 _KNOWN = 200_000  # words a task remembers
 
 
@@ -53,18 +55,21 @@ class LangModel:
         known = self.words.get(word)
         if known is not None:
             return known
-        # Very long words count by their first and last characters.
-        marked = f"<{word if len(word) <= 2 * _LONG else word[:_LONG] + word[-_LONG:]}>"
+        marked = f"<{word}>"
         for size in range(self.longest, 0, -1):
-            parts = (self.grams.get(marked[i : i + size]) for i in range(len(marked) - size + 1))
-            found = [p for p in parts if p is not None]
-            if found:
-                return sum(found) / len(found)
+            total, many = np.zeros(len(self.languages)), 0
+            for i in range(len(marked) - size + 1):
+                part = self.grams.get(marked[i : i + size])
+                if part is not None:
+                    total += part
+                    many += 1
+            if many:
+                return total / many * max(1.0, len(word) / _PIECE)
         return np.zeros(len(self.languages))
 
 
 def _grams(word: str, longest: int) -> Iterator[str]:
-    marked = f"<{word if len(word) <= 2 * _LONG else word[:_LONG] + word[-_LONG:]}>"
+    marked = f"<{word}>"
     for size in range(1, longest + 1):
         for i in range(len(marked) - size + 1):
             yield marked[i : i + size]
@@ -154,8 +159,11 @@ class Scores(dict):
         return place
 
     def total(self, words: list[str]) -> np.ndarray:
+        long = [w for w in words if len(w) > _CACHED]
+        words = [w for w in words if len(w) <= _CACHED] if long else words
         places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.frombuffer(self.flat).reshape(-1, len(self.model.languages))[places].sum(axis=0)
+        known = np.frombuffer(self.flat).reshape(-1, len(self.model.languages))[places].sum(axis=0) if words else 0.0
+        return known + sum((self.model.word_scores(w) for w in long), np.zeros(len(self.model.languages)))
 
 
 def predict_text(model: LangModel, text: str | None, scores: Scores | None = None) -> tuple[str, float]:
