@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, exact_dedup, extract, lang_id, licenses, lm, mixing, near_dup, warc
+from tidewatch.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    extract,
+    lang_id,
+    licenses,
+    lm,
+    merkle,
+    mixing,
+    near_dup,
+    sharding,
+    warc,
+)
 from tidewatch.llm.tables import table
 from tidewatch.plans.staging import staged
 from tidewatch.session import shared_folder
@@ -88,3 +101,16 @@ def op2_chat_format(spark, folder):
 @query
 def op6_main_text(spark, folder):
     return extract.extract(table(spark, folder, "pages"))
+
+
+@query
+def op11_jump_shards(spark, folder):
+    """The small columns are written first, so that the texts are read once."""
+    rows = staged(sharding.measured(table(spark, folder, "documents")), "sizes")
+    return sharding.shard_table(rows)
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    rows = merkle.leaves(table(spark, folder, "documents"), tampered=merkle.tampered_rows())
+    return merkle.proofs(*merkle.manifest(rows))
