@@ -156,3 +156,27 @@ groups AS (
 SELECT doc_id, leaf, subroot, b3.h AS root, sha256(s) AS proof_sha256, f AS folded_root, f = b3.h AS verified
 FROM b_up2, b3
 """
+
+_TERM = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, len(ws) AS n, ws
+  FROM (SELECT doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS ws FROM documents) WHERE len(ws) > 0
+), s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS every FROM d),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(ws) AS t FROM d) GROUP BY ALL),
+w AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*) AS df FROM f GROUP BY t), s
+), q AS (
+  SELECT i, item_id, t, count(*) AS q
+  FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all({_LOWER}, {_TERM})) AS t FROM benchmark)
+  GROUP BY ALL
+), scored AS (
+  SELECT i, item_id, r, doc_id,
+         sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // every))))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN f USING (t), s GROUP BY i, item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -18,6 +18,7 @@ from tidewatch.llm import (
     merkle,
     mixing,
     near_dup,
+    ranking,
     sharding,
     warc,
 )
@@ -114,3 +115,8 @@ def op11_jump_shards(spark, folder):
 def op13_merkle_manifest(spark, folder):
     rows = merkle.leaves(table(spark, folder, "documents"), tampered=merkle.tampered_rows())
     return merkle.proofs(*merkle.manifest(rows))
+
+
+@query
+def op12_ranked_search(spark, folder):
+    return ranking.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
