@@ -167,7 +167,8 @@ def _spread_repeats(ties: DataFrame) -> DataFrame:
     # Leaves that agree in 60 bits.
     order = Window.partitionBy("tree", "key").orderBy("_row.leaf").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_row.position") + F.col("position") + F.coalesce(F.sum("n").over(order), F.lit(0))
-    placed = found.select("_row", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("position"))
+    found = found.select("_row", "n", first.alias("_first"))
+    placed = found.select("_row", F.expr("explode(sequence(_first, _first + n - 1)) AS position"))
     return placed.select(*(f"_row.{c}" for c in ties.columns if c != "position"), "position")
 
 
