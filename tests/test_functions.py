@@ -117,13 +117,6 @@ def test_l1_distance(spark):
         value(spark, vectors.l1_distance(array(1), array(1, 2)))
 
 
-def test_nearest_slice_weight(spark):
-    params = TemplateParams(series_length=2, reference_length=2, decay=0.5)
-    nearest = vectors.nearest_slice_weight(array(9, 1, 2, 9), array(1, 3), params)
-    assert value(spark, nearest) == pytest.approx(math.exp(-0.5))
-    assert value(spark, vectors.nearest_slice_weight(array(1), array(1, 3), params)) == 0.0
-
-
 def test_weight_ratio(spark):
     assert value(spark, vectors.weight_ratio(F.lit(2.0), F.lit(4.0))) == 0.5
     assert value(spark, vectors.weight_ratio(F.lit(2.0), F.lit(0.0))) == pytest.approx(2000.0)

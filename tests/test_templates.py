@@ -3,7 +3,9 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from tidewatch.operators import templates
@@ -56,14 +58,14 @@ def test_prepared_references(spark, library):
     assert row.series == pytest.approx(prepared(raw, PARAMS)[-8:])
 
 
-@pytest.mark.parametrize("per_chunk", [256, 4, 1])
-def test_scores_match_a_plain_loop(make_series, library, per_chunk):
+@pytest.mark.parametrize("per_chunk, blocks", [(256, None), (4, 1), (1, 5), (2, 40)])
+def test_scores_match_a_plain_loop(make_series, library, per_chunk, blocks):
     rng = random.Random(11)
     topics = {f"t{i}": [float(rng.randint(0, 50)) for _ in range(rng.randint(4, 60))] for i in range(6)}
     topics["zeros first"] = [0.0] * 12 + [4.0, 9.0]
     topics["only zeros"] = [0.0] * 12
     known = [(bool(r.trending), r.series) for r in library.collect()]
-    rows = templates.template_scores(make_series(topics), library, PARAMS, per_chunk)
+    rows = templates.template_scores(make_series(topics), library, PARAMS, per_chunk, blocks)
     found: dict[str, list[float]] = {}
     for r in rows.orderBy("topic", "ts").collect():
         found.setdefault(r.topic, []).append(r.signal)
@@ -110,3 +112,39 @@ def test_references_without_one_class(make_series, library):
     only = library.where("trending")
     rows = templates.template_scores(make_series({"t": [5.0] * 9}), only, PARAMS).orderBy("ts").collect()
     assert rows[-1].signal > 0.001
+
+
+def test_nearest_leaves_out_no_nearer_slice():
+    rng = np.random.default_rng(1)
+    for n, m, t in [(1, 6, 9), (3, 1, 4), (7, 30, 50), (24, 13, 200)]:
+        tests, ref = rng.normal(size=(t, n)).cumsum(axis=1), rng.normal(size=n + m - 1).cumsum()
+        ref[: n // 2] = tests[0][: n // 2]
+        slices = np.lib.stride_tricks.sliding_window_view(ref, n)
+        expected = np.abs(tests[:, None, :] - slices[None]).sum(axis=2).min(axis=1)
+        assert templates.nearest(tests, slices) == pytest.approx(expected, abs=1e-12)
+
+
+def test_slice_weight_of_each_row(spark):
+    rng = random.Random(6)
+    rows = [([rng.random() for _ in range(rng.randint(0, 30))], [rng.random() for _ in range(rng.choice([4, 4, 4, 2]))]) for _ in range(200)]
+    rows += [(None, [1.0] * 4), ([1.0] * 9, None)]
+    params = TemplateParams(series_length=4, reference_length=4, decay=0.5)
+    frame = spark.createDataFrame(rows, "r array<double>, t array<double>").coalesce(2)
+    found = frame.select("r", "t", templates.slice_weight(F.col("r"), F.col("t"), params).alias("w")).collect()
+    for row in found:
+        ds = [sum(abs(a - b) for a, b in zip(row.r[i : i + 4], row.t or [])) for i in range(len(row.r or []) - 3)]
+        assert row.w == pytest.approx(math.exp(-0.5 * min(ds)) if ds and len(row.t or []) == 4 else 0.0)
+
+
+def test_series_are_shuffled_once_whatever_the_library(spark, make_series):
+    """No broadcast, no copies of the series in a shuffle, and nothing shuffled after the join."""
+    topics = make_series({f"t{i}": [float(i + j) for j in range(12)] for i in range(9)})
+    # 40,000 references of 400 bytes: above the broadcast threshold of 10 MB.
+    large = spark.range(40_000).selectExpr("id AS ref_id", "id % 2 = 0 AS trending", "transform(sequence(1, 50), i -> double(i * id % 7)) AS series")
+    plan = plan_of(templates.template_weights(topics, large, PARAMS))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # The plan is printed from the top: everything after the join stands above it.
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    assert plan.count("Exchange hashpartitioning(_block") == 1
+    rows = templates.template_weights(topics, large.limit(2_000), PARAMS).collect()
+    assert len(rows) == 9 * 12 and sum(r.trend_weight > 0 for r in rows) == 9 * 5

@@ -103,25 +103,5 @@ def l1_distance(a: Column, b: Column) -> Column:
     )
 
 
-def nearest_slice_weight(reference: Column, test: Column, params: TemplateParams) -> Column:
-    """``exp(-decay * d)`` with d the smallest distance to any slice of the reference.
-
-    A reference shorter than the test series has no slice and weighs 0.
-    """
-    n = params.series_length
-
-    def nearest(ref: Column, x: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ref) - n + 1, F.lit(1)))
-        return F.array_min(
-            F.transform(starts, lambda s: l1_distance(F.slice(ref, s, F.lit(n)), x))
-        )
-
-    def weight(ref: Column) -> Column:
-        found = F.exp(-let(test, lambda x: nearest(ref, x)) * params.decay)
-        return F.when(F.size(ref) < n, F.lit(0.0)).otherwise(found)
-
-    return let(reference, weight)
-
-
 def weight_ratio(trending: Column, other: Column) -> Column:
     return trending / F.when(other == 0, F.lit(EMPTY_WEIGHT)).otherwise(other)

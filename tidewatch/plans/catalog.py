@@ -36,8 +36,7 @@ WIDTH = 24
 PAGE_KEYWORDS = ("click_1", "view", "purchase_9")
 TEXT_KEYWORDS = ("password", "copyright", "the and", "email")
 CROWDED, SHOWN = 20, 5
-# Files of a table are in no order of time, so the watermark waits longer than the events cover.
-LIVE_DELAY, LIVE_FILES = "400 days", 8
+LIVE_FILES = 8
 
 
 def query(fn: Query) -> Query:
@@ -189,25 +188,39 @@ def topic_chart(spark, folder):
     return chart.select("id", "views", "signal", ms("time").alias("time_ms"))
 
 
-@query
-def live_peak_signal(spark, folder):
-    """The signal from a stream of the events, a few files at a time, brought to its end."""
-    stream = (
-        spark.readStream.schema(inputs.SCHEMAS["events"])
-        .option("maxFilesPerTrigger", LIVE_FILES)
-        # As a pattern, the table may be a file or a folder of part files.
-        .parquet(f"{folder}/events.parque[t]")
-    )
-    points = stream.select(
+def _event_points(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("topic"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").cast("decimal(18,2)").alias("views"),
     )
-    path = shared_folder(spark, "live-peaks")
-    found = live.update_signals(points, path, inputs.PEAKS, LIVE_DELAY, last=True)
+
+
+def _live(spark, folder, name, signal):
+    """A signal from a stream of the events, a few files at a time, brought to its end.
+
+    The files of a table are in no order of time, so hours stay open for as long as the table is.
+    """
+    # The streaming reader takes folders and patterns; as a pattern, the table may be one file too.
+    files = spark.readStream.schema(inputs.SCHEMAS["events"]).option("maxFilesPerTrigger", LIVE_FILES)
+    points = _event_points(files.parquet(f"{folder}/events.parque[t]"))
+    delay = live.whole_length(_event_points(table(spark, folder, "events")))
+    return live.update_signals(points, shared_folder(spark, name), signal, delay, last=True)
+
+
+@query
+def live_peak_signal(spark, folder):
+    found = _live(spark, folder, "live-peaks", lambda hours: live.live_peaks(hours, inputs.PEAKS))
     return _rows(found, "views", "signal")
 
 
+@query
+def live_template_scores(spark, folder):
+    library = _library(spark, folder)
+    found = _live(spark, folder, "live-scores", lambda hours: live.live_scores(hours, library, inputs.TEMPLATES))
+    return _rows(found, "views", _r("signal", 5))
+
+
 # Events ------------------------------------------------------------------------------------
 
 

@@ -218,6 +218,9 @@ def _vector(expression: str, source: str = USERS) -> str:
 _SIGNAL_ROWS = f"SELECT topic, {ms('ts')} AS ts_ms, views, signal FROM signals"
 _BUCKET_TEXTS = ", ".join(f"{listed(b)} AS {b}" for b in BUCKET_NAMES)
 
+_SCORES = f"""SELECT topic, {ms('ts')} AS ts_ms, views,
+             ROUND(tw / CASE WHEN ow = 0 THEN 0.001 ELSE ow END, 5) AS signal FROM weights"""
+
 ORACLES: dict[str, str] = {
     "topic_hourly_views": with_(TYPES) + f"SELECT topic, {ms('ts')} AS ts_ms, views FROM hours",
     "pageview_line_parse": f"""
@@ -382,9 +385,8 @@ ORACLES: dict[str, str] = {
     "template_weights": with_(TYPES, LIBRARY, WEIGHTS)
     + f"""SELECT topic, {ms('ts')} AS ts_ms, ROUND(tw, 6) AS trend_weight,
              ROUND(ow, 6) AS other_weight FROM weights""",
-    "template_scores": with_(TYPES, LIBRARY, WEIGHTS)
-    + f"""SELECT topic, {ms('ts')} AS ts_ms, views,
-             ROUND(tw / CASE WHEN ow = 0 THEN 0.001 ELSE ow END, 5) AS signal FROM weights""",
+    "template_scores": with_(TYPES, LIBRARY, WEIGHTS) + _SCORES,
+    "live_template_scores": with_(TYPES, LIBRARY, WEIGHTS) + _SCORES,
     "poll_entries": with_(POLLS)
     + f"""SELECT poll, {ms(midnight('d'))} AS entry_ms, name, CAST(v AS VARCHAR) || ' pts' AS value
           FROM values_""",
