@@ -98,6 +98,42 @@ def test_overlapping_events_and_large_calendars(spark, signals):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_crowded_day_is_no_one_tasks_work(spark, no_broadcast):
+    """All topics on the days of one event, the calendar not broadcast: every task gets its share."""
+    rows = spark.range(40 * 400).selectExpr(
+        "concat('t', id % 400) AS topic", "timestampadd(HOUR, cast(id div 400 AS int), timestamp'2016-02-09 06:00:00') AS ts",
+        "1.0D AS views", "double(id % 7 = 0) AS signal",
+    )
+    dates = known(spark, "2016-02-09")
+    plain, salted = (events.window_points(rows, dates, EventParams(), salts) for salts in (1, events.salts_for(dates)))
+    assert events.salts_for(dates) == events.SALTS and plan_of(salted).count("SortMergeJoin") == 1
+
+    def shares(points):
+        sizes = [r["count"] for r in points.groupBy(F.spark_partition_id()).count().collect()]
+        return max(sizes) / (sum(sizes) / 8), len(sizes)
+
+    assert shares(plain)[1] <= 3 and shares(plain)[0] > 2
+    assert shares(salted)[1] == 8 and shares(salted)[0] < 2
+    assert salted.exceptAll(plain).count() == plain.exceptAll(salted).count() == 0
+    spikes = [sorted(map(tuple, events.find_spikes(rows, dates, EventParams(0.5), s).collect())) for s in (1, 64)]
+    assert spikes[0] == spikes[1] and len(spikes[0]) == 400
+
+
+def test_a_small_calendar_is_not_dealt_out(spark):
+    assert events.salts_for(known(spark, "2016-02-09")) == 1
+
+
 def test_a_repeated_date_is_one_event(spark, signals):
     once = events.event_windows(events.window_points(signals("t"), known(spark, "2016-02-09"))).collect()
     twice = events.event_windows(events.window_points(signals("t"), known(spark, "2016-02-09", "2016-02-09"))).collect()

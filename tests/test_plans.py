@@ -82,3 +82,15 @@ def test_lines_are_filtered_before_the_shuffle(spark):
 
     plan = plan_of(series.topic_hours(cleaning.topic_points(inputs.document_lines(spark, FOLDER))))
     assert plan.index("Exchange hashpartitioning") < plan.index("Filter")
+
+
+def test_filled_series_are_packed_once(spark):
+    hours = inputs.user_series(spark, FOLDER)
+    for peaking_only in (False, True):
+        found = peaks.detect_peaks(hours, PeakParams(24, 3.0), peaking_only, densify=True)
+        plan = plan_of(found)
+        # One partial and one final aggregate make up one packing.
+        assert plan.count("collect_list(") == 2 and plan.count("Exchange hashpartitioning") == 2
+    long = peaks.detect_peaks(series.densify(hours), PeakParams(24, 3.0))
+    direct = peaks.detect_peaks(hours, PeakParams(24, 3.0), densify=True)
+    assert long.exceptAll(direct).count() == direct.exceptAll(long).count() == 0 and direct.count() > 1_000

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidewatch.operators.series import pack
+from tidewatch.operators.series import densify_packed, pack
 from tidewatch.params import PeakParams
 
 # The fold keeps its 0/1 decisions as the bits of a list of longs: appending each one to an
@@ -66,20 +66,27 @@ def _signal(words: str, index: str, k: int) -> str:
     return f"if({judged} < 0, 0D, double({bit}))"
 
 
-def _long_enough(series: DataFrame, params: PeakParams) -> DataFrame:
-    return pack(series).where(f"size(points) > {params.win_length}")
+def _long_enough(packed: DataFrame, params: PeakParams) -> DataFrame:
+    return packed.where(f"size(points) > {params.win_length}")
+
+
+def _packed(series: DataFrame, params: PeakParams, densify: bool) -> DataFrame:
+    """Packed series longer than the window, optionally with their gaps filled where they lie."""
+    packed = pack(series)
+    return _long_enough(densify_packed(packed) if densify else packed, params)
 
 
 def detect_peaks(
-    series: DataFrame, params: PeakParams = PeakParams(), peaking_only: bool = False
+    series: DataFrame, params: PeakParams = PeakParams(), peaking_only: bool = False, densify: bool = False
 ) -> DataFrame:
     """``(topic, ts, views, signal)`` from hourly series ``(topic, ts, views)``.
 
-    Topics with no more than ``win_length`` rows produce nothing. With ``peaking_only``
+    Topics with no more than ``win_length`` rows produce nothing. With ``densify`` absent hours count as
+    rows of 0 views; the series is packed once and handed on as it is. With ``peaking_only``
     topics without a single peak are not unpacked: they cannot produce a spike, and they are
     the great majority.
     """
-    packed = _long_enough(series, params)
+    packed = _packed(series, params, densify)
     decided = packed.selectExpr("topic", "points", f"{_decided('points', params)} AS _words")
     # Not a filter: Spark would move it below the fold and run the fold twice.
     points = "if(exists(_words, w -> w <> 0), points, null)" if peaking_only else "points"
@@ -88,10 +95,10 @@ def detect_peaks(
     return rows.selectExpr("topic", "_p.ts", "_p.views", f"{signal} AS signal")
 
 
-def packed_peaks(series: DataFrame, params: PeakParams = PeakParams()) -> DataFrame:
+def packed_peaks(series: DataFrame, params: PeakParams = PeakParams(), densify: bool = False) -> DataFrame:
     """One row per topic: ``points`` array of ``(ts, views, signal)``."""
     signal = _signal("words", "i", params.win_length)
     rows = f"""transform(
         points, (p, i) -> named_struct('ts', p.ts, 'views', p.views, 'signal', {signal}))"""
     points = _let("words", _decided("points", params), rows)
-    return _long_enough(series, params).selectExpr("topic", f"{points} AS points")
+    return _packed(series, params, densify).selectExpr("topic", f"{points} AS points")

@@ -53,13 +53,12 @@ def hour_spine(times: DataFrame) -> DataFrame:
     return ends.select(F.explode(clock.hours_between(F.col("first"), F.col("last"))).alias("ts"))
 
 
-def densify(series: DataFrame) -> DataFrame:
-    """Add the absent hours of each topic, between its first and last, with 0 views.
+def densify_packed(packed: DataFrame) -> DataFrame:
+    """Add the absent hours of each packed series, between its first and last, with 0 views.
 
-    The gap after each row is filled from that row alone, in place: no join and no spine per
+    The gap after each point is filled from that point alone, in place: no join and no spine per
     topic.
     """
-    packed = pack(series)
 
     def with_gap(p: Column, i: Column) -> Column:
         following = F.get("points", i + 1)["ts"]
@@ -72,4 +71,9 @@ def densify(series: DataFrame) -> DataFrame:
             ),
         )
 
-    return unpack(packed.withColumn("points", F.flatten(F.transform("points", with_gap))))
+    return packed.withColumn("points", F.flatten(F.transform("points", with_gap)))
+
+
+def densify(series: DataFrame) -> DataFrame:
+    """The long form of ``densify_packed``, from long rows."""
+    return unpack(densify_packed(pack(series)))

@@ -175,6 +175,13 @@ def peak_signal_users(spark, folder):
     return _rows(peaks.detect_peaks(inputs.user_series(spark, folder), inputs.PEAKS), "views", "signal")
 
 
+@query
+def peak_signal_dense(spark, folder):
+    """The signal of users whose absent hours count as hours without views."""
+    found = peaks.detect_peaks(inputs.user_series(spark, folder), inputs.PEAKS, densify=True)
+    return _rows(found, "views", "signal")
+
+
 @query
 def signal_text_roundtrip(spark, folder):
     packed = peaks.packed_peaks(inputs.user_series(spark, folder), inputs.PEAKS)
@@ -251,6 +258,13 @@ def event_window_points(spark, folder):
     return _rows(points, ms("event_ts").alias("event_ms"), "bucket", "views", "signal")
 
 
+@query
+def event_window_points_dealt(spark, folder):
+    """The same join as for a calendar above the broadcast size, with the topics of a day dealt to parts."""
+    points = events.window_points(_user_signals(spark, folder), inputs.january_events(spark), inputs.EVENTS, events.SALTS)
+    return _rows(points, ms("event_ts").alias("event_ms"), "bucket", "views", "signal")
+
+
 @query
 def event_window_buckets(spark, folder):
     windows = events.event_windows(

@@ -47,11 +47,10 @@ def detect_trends(
     the signals serve to find spikes, and the search for them then has far less to read.
     """
     found = topic_series(spark, source, keywords=keywords)
-    found = series.densify(found) if densify else found
     if as_text:
-        files.write_signal_text(peaks.packed_peaks(found, params), target)
+        files.write_signal_text(peaks.packed_peaks(found, params, densify), target)
     else:
-        files.write_signals(peaks.detect_peaks(found, params, peaking_only), target)
+        files.write_signals(peaks.detect_peaks(found, params, peaking_only, densify), target)
 
 
 def score_trends(
@@ -83,7 +82,7 @@ def extract_spikes(
         if dates
         else calendar.known_event_dates(spark, params=params)
     )
-    files.write_spikes(events.find_spikes(found, known, params), target, single_file)
+    files.write_spikes(events.find_spikes(found, known, params, events.salts_for(known)), target, single_file)
 
 
 def event_report(

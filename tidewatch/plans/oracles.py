@@ -275,6 +275,15 @@ ORACLES: dict[str, str] = {
     "peak_signal_defaults": with_(TYPES, signals(PeakParams())) + _SIGNAL_ROWS,
     "peak_signal_influence": with_(TYPES, signals(inputs.INFLUENCED)) + _SIGNAL_ROWS,
     "peak_signal_users": with_(USERS, signals()) + _SIGNAL_ROWS,
+    "peak_signal_dense": with_(
+        USERS.replace("hours AS", "sums AS", 1),
+        """spans AS (SELECT topic, UNNEST(generate_series(MIN(ts), MAX(ts), INTERVAL 1 HOUR)) AS ts
+                    FROM sums GROUP BY topic)""",
+        """hours AS (SELECT s.topic, s.ts, COALESCE(h.views, 0.0) AS views
+                    FROM spans s LEFT JOIN sums h ON h.topic = s.topic AND h.ts = s.ts)""",
+        signals(),
+    )
+    + _SIGNAL_ROWS,
     "signal_text_roundtrip": with_(USERS, signals()) + _SIGNAL_ROWS,
     "live_peak_signal": with_(TYPES, signals()) + _SIGNAL_ROWS,
     "topic_chart": with_(TYPES, signals())
@@ -285,6 +294,8 @@ ORACLES: dict[str, str] = {
       FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)""",
     "event_window_points": with_(TYPES, signals(), EVENTS, POINTS)
     + f"SELECT topic, {ms('ts')} AS ts_ms, {ms('event_ts')} AS event_ms, bucket, views, signal FROM points",
+    "event_window_points_dealt": with_(USERS, signals(), EVENTS, POINTS)
+    + f"SELECT topic, {ms('ts')} AS ts_ms, {ms('event_ts')} AS event_ms, bucket, views, signal FROM points",
     "event_window_buckets": with_(USERS, signals(), EVENTS, POINTS, WINDOWS)
     + f"""SELECT topic, {ms('event_ts')} AS event_ms, {_BUCKET_TEXTS},
              ROUND(total_views, 2) AS total_views, points, has_peak FROM windows""",
