@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.__main__ import main
-from tidewatch.params import EventParams, PeakParams, TemplateParams
+from tidewatch.params import EventParams, PeakParams
 from tidewatch.plans import jobs
 from tidewatch.sources import references, signals
 
@@ -73,13 +73,7 @@ def test_command_line_and_report(spark, dump, tmp_path):
         }
     }
     (tmp_path / "poll.json").write_text(json.dumps(poll))
-    jobs.event_report(
-        spark,
-        f"{tmp_path}/spikes",
-        f"{tmp_path}/calendar.csv",
-        f"{tmp_path}/report",
-        {"One": f"{tmp_path}/poll.json"},
-    )
+    main(["report", f"{tmp_path}/spikes", f"{tmp_path}/calendar.csv", f"{tmp_path}/report", "--poll", f"One={tmp_path}/poll.json"])
     read = lambda name: spark.read.parquet(f"{tmp_path}/report/{name}")
     bubbles = read("event_bubbles").orderBy("event_ts").collect()
     assert [(b.spikes, b.y, b.party_class) for b in bubbles] == [(1, 65.0, "democrats"), (0, 5.0, "republicans")]
@@ -123,7 +117,7 @@ def test_scores(spark, dump, tmp_path):
     raw = [("up", True, [float(i) for i in range(200)]), ("flat", False, [400.0] * 200)]
     frame = spark.createDataFrame(raw, "ref_id string, trending boolean, values array<double>")
     references.add_references(frame, f"{tmp_path}/library")
-    jobs.score_trends(spark, f"{dump}/*.gz", f"{tmp_path}/library", f"{tmp_path}/scores", TemplateParams())
+    main(["score", f"{dump}/*.gz", f"{tmp_path}/library", f"{tmp_path}/scores"])
     rows = signals.read_signals(spark, f"{tmp_path}/scores")
     assert rows.count() == 3 * HOURS
     assert rows.where("signal > 0").count() == 3 * (HOURS - 149)

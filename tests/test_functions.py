@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import clock, text, vectors
+from tidewatch.operators import cleaning, series
 from tidewatch.params import EventParams, PeakParams, TemplateParams
 
 
@@ -102,6 +104,29 @@ def test_smooth(spark):
     assert value(spark, vectors.smooth(array(1, 2), 0)) == [1.0, 2.0]
 
 
+def test_many_keywords_are_found_like_few(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abÀé😀 .*", k=rng.randint(0, 30))) for _ in range(400)] + [None, "", "ABBA", "SS ß İ"]
+    keywords = [*{"".join(rng.choices("abÀé😀 .*", k=rng.randint(2, 4))) for _ in range(60)}, "bba", "bbab", "A"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    one_by_one = text.any_of([F.contains(F.lower("t"), F.lit(k)) for k in keywords])
+    rows = frame.select(text.contains_any(F.col("t"), keywords).alias("many"), one_by_one.alias("each")).collect()
+    assert [r.many for r in rows] == [r.each for r in rows] and 50 < sum(bool(r.many) for r in rows) < 400
+    assert frame.where(text.contains_any(F.col("t"), [*keywords, ""])).count() == len(texts) - 1
+    assert frame.where(text.contains_any(F.col("t"), [])).count() == 0
+
+
+def test_sums_by_stamp_are_sums_by_hour(spark):
+    lines = [("pageviews-20160201-000000.gz", "en A 3 0"), ("projects-20160201-000000.gz", "es a 4 0"), ("x20160201-010000.gz", "en a 5 0")]
+    raw = spark.createDataFrame(lines, "file_name string, line string")
+    by_stamp = series.stamped_hours(cleaning.topic_lines(raw)).collect()
+    assert sorted(by_stamp) == sorted(series.topic_hours(cleaning.topic_points(raw)).collect())
+    assert sorted(r.views for r in by_stamp) == [5.0, 7.0]
+    bad = spark.createDataFrame([("pageviews-20161301-000000.gz", "en A 3 0")], raw.schema)
+    with pytest.raises(Exception, match="no hour in file name"):
+        series.stamped_hours(cleaning.topic_lines(bad)).collect()
+
+
 def test_spike_normalise(spark):
     assert value(spark, vectors.spike_normalise(array(4, 0, 9), 0.5)) == pytest.approx([2, 2, 3])
 

@@ -36,6 +36,17 @@ def main(argv: list[str] | None = None) -> None:
     extract.add_argument("--from-text", action="store_true", help="the signals are text records")
     extract.add_argument("--single-file", action="store_true", help="write one file, by one task")
 
+    score = job.add_parser("score", help="count files to similarity scores")
+    score.add_argument("source")
+    score.add_argument("library", help="stored reference series")
+    score.add_argument("target")
+
+    tables = job.add_parser("report", help="spike JSON and a calendar to the report tables")
+    tables.add_argument("spikes")
+    tables.add_argument("calendar")
+    tables.add_argument("target")
+    tables.add_argument("--poll", action="append", default=[], metavar="NAME=FILE", help="a poll document, repeatable")
+
     matrix = job.add_parser("matrix", help="top pages by hour")
     matrix.add_argument("folder")
     matrix.add_argument("first", type=_stamp)
@@ -65,6 +76,11 @@ def main(argv: list[str] | None = None) -> None:
         jobs.extract_spikes(
             spark, args.source, args.target, params, args.dates, args.from_text, args.single_file
         )
+    elif args.job == "score":
+        jobs.score_trends(spark, args.source, args.library, args.target)
+    elif args.job == "report":
+        polls = dict(p.split("=", 1) for p in args.poll)
+        jobs.event_report(spark, args.spikes, args.calendar, args.target, polls or None)
     elif args.job == "matrix":
         jobs.page_matrix(spark, args.folder, args.first, args.last, args.target)
     else:

@@ -15,15 +15,24 @@ def local_midnight(date: Column, zone: str) -> Column:
     return F.to_utc_timestamp(date.cast("timestamp"), zone)
 
 
-def file_hour(file_name: Column) -> Column:
-    """Timestamp from the 15 characters in front of the last ``.gz``; a bad name is an error.
+def file_stamp(file_name: Column) -> Column:
+    """The 15 characters in front of the last ``.gz``.
 
     Plain substring work instead of a regular expression: this runs once per input line.
     """
     suffix = F.substring_index(file_name, ".gz", -1)
-    stamp = F.substr(file_name, F.length(file_name) - F.length(suffix) - 17, F.lit(15))
+    return F.substr(file_name, F.length(file_name) - F.length(suffix) - 17, F.lit(15))
+
+
+def stamp_hour(stamp: Column) -> Column:
+    """Timestamp from a stamp; one that is none is an error."""
     ts = F.try_to_timestamp(stamp, F.lit(FILE_STAMP))
-    return F.coalesce(ts, F.raise_error(F.concat(F.lit("no hour in file name: "), file_name)))
+    return F.coalesce(ts, F.raise_error(F.concat(F.lit("no hour in file name: "), stamp)))
+
+
+def file_hour(file_name: Column) -> Column:
+    """Timestamp from the stamp of a file name."""
+    return stamp_hour(file_stamp(file_name))
 
 
 def stamped_name(ts: Column, prefix: str = "", suffix: str = ".gz") -> Column:

@@ -20,12 +20,12 @@ KEYWORDS = ("clinton", "trump", "democrat", "republican")
 # the filter.
 
 
-def topic_points(raw: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
-    """Points ``(topic, ts, views)`` of the projects whose name starts with a language.
+def topic_lines(raw: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
+    """Counted lines ``(topic, stamp, views)`` of the projects whose name starts with a language.
 
     Lines hold single-space separated ``project title views ...``. All matching projects share
     one topic, the lower-cased title. Foreign lines, and lines whose count is missing, no
-    number, NaN or infinite, are dropped before any shuffle.
+    number, NaN or infinite, are dropped before any shuffle. The stamp is the text in the file name.
     """
     # The project begins the line, so its prefix is the prefix of the line.
     wanted = raw.where(text.starts_with_any(F.col("line"), languages))
@@ -34,12 +34,15 @@ def topic_points(raw: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFr
         "file_name", "_f", F.explode(F.array(F.get("_f", F.lit(2)).try_cast("double"))).alias("views")
     )
     return counted.where(F.abs("views") < F.lit(float("inf"))).select(
-        F.lower(F.get("_f", F.lit(1))).alias("topic"),
-        clock.file_hour(F.col("file_name")).alias("ts"),
-        "views",
+        F.lower(F.get("_f", F.lit(1))).alias("topic"), clock.file_stamp(F.col("file_name")).alias("stamp"), "views"
     )
 
 
+def topic_points(raw: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
+    """``topic_lines`` as points ``(topic, ts, views)``, for streams, which need the time of each line."""
+    return topic_lines(raw, languages).select("topic", clock.stamp_hour(F.col("stamp")).alias("ts"), "views")
+
+
 def keyword_lines(raw: DataFrame, keywords: Sequence[str], column: str = "line") -> DataFrame:
     """Rows whose lower-cased text contains a keyword; no keywords keep nothing."""
     return raw.where(text.contains_any(F.col(column), keywords))

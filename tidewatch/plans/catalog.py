@@ -22,6 +22,7 @@ from tidewatch.operators import (
 from tidewatch.params import PeakParams
 from tidewatch.plans import inputs
 from tidewatch.plans.inputs import ms, table
+from tidewatch.plans.staging import staged
 from tidewatch.session import shared_folder
 from tidewatch.sinks import files
 from tidewatch.sources import calendar, pageviews, references, signals
@@ -35,6 +36,7 @@ QUERIES: dict[str, Query] = {}
 WIDTH = 24
 PAGE_KEYWORDS = ("click_1", "view", "purchase_9")
 TEXT_KEYWORDS = ("password", "copyright", "the and", "email")
+MANY_KEYWORDS = tuple(f"{a}{b}{a}{b}" for a in "aeiou" for b in "bcdfghjklmnprstv")
 CROWDED, SHOWN = 20, 5
 LIVE_FILES = 8
 
@@ -72,8 +74,8 @@ def topic_hourly_views(spark, folder):
 
 @query
 def pageview_line_parse(spark, folder):
-    points = cleaning.topic_points(inputs.document_lines(spark, folder))
-    return _rows(series.topic_hours(points), "views")
+    lines = cleaning.topic_lines(inputs.document_lines(spark, folder))
+    return _rows(series.stamped_hours(lines), "views")
 
 
 @query
@@ -82,6 +84,12 @@ def keyword_lines(spark, folder):
     return found.select("doc_id", "lang", "source")
 
 
+@query
+def keyword_lines_many(spark, folder):
+    found = cleaning.keyword_lines(table(spark, folder, "documents"), MANY_KEYWORDS, "text")
+    return found.select("doc_id", "lang", "source")
+
+
 @query
 def keyword_page_hours(spark, folder):
     return _page_hours(spark, folder).select("title", ms("ts").alias("ts_ms"), "views")
@@ -380,17 +388,23 @@ def title_prettify(spark, folder):
 # Top pages ---------------------------------------------------------------------------------
 
 
+def _page_points(spark, folder):
+    return cleaning.keyword_points(inputs.page_lines(spark, folder), PAGE_KEYWORDS)
+
+
 def _page_hours(spark, folder):
-    return series.page_hours(cleaning.keyword_points(inputs.page_lines(spark, folder), PAGE_KEYWORDS))
+    return series.page_hours(_page_points(spark, folder))
 
 
 @query
 def top_pages(spark, folder):
-    return topk.top_pages(_page_hours(spark, folder))
+    """Totals straight from the points: no sums per hour on the way."""
+    return topk.top_pages(_page_points(spark, folder))
 
 
 def _matrix(spark, folder):
-    return topk.page_matrix(_page_hours(spark, folder))
+    """The lines are read once; spine, ranks and cells are worked out from the sums."""
+    return topk.page_matrix(staged(_page_hours(spark, folder), "page-hours"))
 
 
 @query

@@ -28,7 +28,7 @@ def topic_series(
     raw = pageviews.read_lines(spark, source, skip_corrupt)
     if keywords is not None:
         raw = cleaning.keyword_lines(raw, keywords)
-    return series.topic_hours(cleaning.topic_points(raw, languages))
+    return series.stamped_hours(cleaning.topic_lines(raw, languages))
 
 
 def detect_trends(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.plans import inputs
-from tidewatch.plans.catalog import CROWDED, PAGE_KEYWORDS, SHOWN, TEXT_KEYWORDS, WIDTH
+from tidewatch.plans.catalog import CROWDED, MANY_KEYWORDS, PAGE_KEYWORDS, SHOWN, TEXT_KEYWORDS, WIDTH
 from tidewatch.params import PeakParams
 from tidewatch.sources.signals import BUCKET_NAMES
 
@@ -229,6 +229,7 @@ ORACLES: dict[str, str] = {
       FROM documents
       WHERE n_chars >= 200 AND (starts_with(lang, 'en') OR starts_with(lang, 'es')) GROUP BY ALL""",
     "keyword_lines": f"SELECT doc_id, lang, source FROM documents WHERE {any_keyword('text', TEXT_KEYWORDS)}",
+    "keyword_lines_many": f"SELECT doc_id, lang, source FROM documents WHERE {any_keyword('text', MANY_KEYWORDS)}",
     "keyword_page_hours": with_(PAGE_HOURS) + f"SELECT title, {ms('ts')} AS ts_ms, views FROM page_hours",
     "page_totals": with_(PAGE_HOURS)
     + "SELECT title, CAST(SUM(views) AS BIGINT) AS total FROM page_hours GROUP BY title",
