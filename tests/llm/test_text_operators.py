@@ -425,6 +425,62 @@ def test_language_id_of_odd_rows(spark, odd):
     assert lang_id.predict_text(model, "chatte")[0] == "fr" and lang_id.predict_text(model, "dogs")[0] == "en"
 
 
+def test_language_id_is_that_of_a_plain_model(spark):
+    """Scores of random texts against counts in dictionaries."""
+    rng, longest = np.random.default_rng(5), 4
+    letters = {"en": "abcdet", "fr": "abcéèt", "hi": "अआकखा"}
+    word = lambda lang: "".join(rng.choice(list(letters[lang]), rng.integers(1, 7)))
+    vocabulary = {lang: [word(lang) for _ in range(40)] for lang in letters}
+    taught = [(lang, " ".join(rng.choice(vocabulary[lang], 30))) for lang in letters for _ in range(8)]
+    model = lang_id.fit(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(taught)], "doc_id long, text string, lang string"))
+    langs = sorted(letters)
+    counts = {}  # size (0 for words), then item, to counts by language
+    for lang, text in taught:
+        for w in lang_id.words_of(text):
+            counts.setdefault(0, {}).setdefault(w, Counter())[lang] += 1
+            for size in range(1, longest + 1):
+                for i in range(len(w) + 3 - size):
+                    counts.setdefault(size, {}).setdefault(f"<{w}>"[i : i + size], Counter())[lang] += 1
+
+    def logs(size, item):
+        table = counts[size]
+        totals = [sum(c[lang] for c in table.values()) for lang in langs]
+        return np.array([math.log(table[item][lang] + 1) - math.log(t + len(table) + 1) for lang, t in zip(langs, totals)])
+
+    def score(w):
+        if w in counts[0]:
+            return logs(0, w)
+        for size in range(longest, 0, -1):
+            found = [g for i in range(len(w) + 3 - size) if (g := f"<{w}>"[i : i + size]) in counts[size]]
+            if found:
+                return sum(logs(size, g) for g in found) / len(found) * max(1.0, len(w) / 24)
+        return np.zeros(len(langs))
+
+    for _ in range(60):
+        lang = str(rng.choice(langs))
+        text = " ".join([*(word(lang) for _ in range(rng.integers(1, 6))), str(rng.choice(vocabulary[lang])), "zzz", "abt" * 30])
+        total = np.log(np.full(3, 1 / 3)) + sum(score(w) for w in lang_id.words_of(text))
+        found, share = lang_id.predict_text(model, text)
+        assert found == langs[int(total.argmax())]
+        assert share == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-4)
+
+
+def test_figures_are_no_letters_and_marks_belong_to_words(spark):
+    assert lang_id.words_of("10² ½ Ⅷ _ 7a") == ["a"] and lang_id.words_of("हिन्दी में") == ["हिन्दी", "में"]
+    model = lang_id.fit(spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string"))
+    assert [lang_id.predict_text(model, t) for t in ("10² ½", "Ⅷ", "7")] == [("und", 0.0)] * 3
+
+
+def test_a_task_forgets_words_and_scores_them_alike(monkeypatch, spark):
+    taught = [(i, f"word{chr(97 + i % 26)} {chr(97 + i % 26)}text", "en" if i % 2 else "de") for i in range(60)]
+    model = lang_id.fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    text = " ".join(t for _, t, _ in taught) + " unseen"
+    whole = lang_id.predict_text(model, text)
+    monkeypatch.setattr(lang_id, "_KNOWN", 5)
+    monkeypatch.setattr(lang_id, "_AT_ONCE", 5)
+    assert lang_id.predict_text(model, text) == (whole[0], pytest.approx(whole[1]))
+
+
 def test_long_words_are_scored_whole(spark):
     taught = [("fr", "chat chien"), ("en", "walk with")] * 3
     model = lang_id.fit(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(taught)], "doc_id long, text string, lang string"))

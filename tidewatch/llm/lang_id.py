@@ -13,24 +13,26 @@ at most ``1 / min_share`` words and as many n-grams of each length per language.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tables import small_batches
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+# Letters, with the marks that belong to them; no figures, also not those that are written like letters.
+_ASCII_WORD, _WORD = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _PIECE = 24  # letters of a longer unseen word that weigh as one word
 _CACHED = 128  # letters of the longest word a task remembers
-_KNOWN = 200_000  # words a task remembers
+_KNOWN = 40_000  # words a task remembers
+_AT_ONCE = 20_000  # words or n-grams looked up, or words counted, at a time
 
 
 @dataclass(frozen=True)
@@ -41,31 +43,73 @@ class LangParams:
     min_rows: int = 1
 
 
+def _hashes(items: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(i.encode("utf-8", "surrogatepass")) for i in items), np.uint64, len(items))
+
+
+@dataclass(frozen=True)
+class LogTable:
+    """Log frequencies of items: their 64-bit hashes in order, and a row of single floats per hash.
+
+    Two items of one hash count as one; among a million items that is one chance in ten million.
+    """
+
+    hashes: np.ndarray
+    logs: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[list[str], np.ndarray]], languages: int) -> LogTable:
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(_hashes(items) for items, _ in parts)])
+        logs = np.concatenate([np.zeros((0, languages), np.float32), *(rows.astype(np.float32) for _, rows in parts)])
+        order = np.argsort(hashes, kind="stable")
+        return LogTable(hashes[order], logs[order])
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """Row of each item, -1 where it is not known."""
+        if not len(self.hashes):
+            return np.full(len(items), -1)
+        wanted = _hashes(items)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
+
+
 @dataclass(frozen=True)
 class LangModel:
-    """Log frequencies: ``words`` and ``grams`` map to one value per language, in their order."""
+    """Log frequencies of words and n-grams in the languages, in their order."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: LogTable
+    grams: LogTable
     prior: np.ndarray
     longest: int
 
-    def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        marked = f"<{word}>"
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row per word: its log frequencies, or the mean of those of its longest known n-grams."""
+        rows = self.words.find(words)
+        known = rows >= 0
+        scores = np.zeros((len(words), len(self.languages)))
+        scores[known] = self.words.logs[rows[known]]
+        left = np.nonzero(~known)[0].tolist()
         for size in range(self.longest, 0, -1):
-            total, many = np.zeros(len(self.languages)), 0
-            for i in range(len(marked) - size + 1):
-                part = self.grams.get(marked[i : i + size])
-                if part is not None:
-                    total += part
-                    many += 1
-            if many:
-                return total / many * max(1.0, len(word) / _PIECE)
-        return np.zeros(len(self.languages))
+            open_ = []
+            for i in left:
+                total, many = self._gram_sum(f"<{words[i]}>", size)
+                if many:
+                    scores[i] = total / many * max(1.0, len(words[i]) / _PIECE)
+                else:
+                    open_.append(i)
+            left = open_
+        return scores
+
+    def _gram_sum(self, marked: str, size: int) -> tuple[np.ndarray, int]:
+        total, many = np.zeros(len(self.languages)), 0
+        for first in range(0, max(len(marked) - size + 1, 0), _AT_ONCE):
+            last = min(first + _AT_ONCE, len(marked) - size + 1)
+            rows = self.grams.find([marked[i : i + size] for i in range(first, last)])
+            rows = rows[rows >= 0]
+            total += self.grams.logs[rows].sum(axis=0, dtype=np.float64)
+            many += len(rows)
+        return total, many
 
 
 def _grams(word: str, longest: int) -> Iterator[str]:
@@ -75,19 +119,21 @@ def _grams(word: str, longest: int) -> Iterator[str]:
             yield marked[i : i + size]
 
 
-def _words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and their marks, in lower case."""
+    lowered = (text or "").lower()
+    return _ASCII_WORD.findall(lowered) if lowered.isascii() else _WORD.findall(lowered)
 
 
-def _log_table(counts: list[tuple[int, str, int]], languages: int) -> dict[str, np.ndarray]:
+def _log_rows(counts: list[tuple[int, str, int]], languages: int) -> tuple[list[str], np.ndarray]:
     """Smoothed log frequencies of the items of one kind and size."""
-    totals = np.zeros(languages)
-    table: dict[str, np.ndarray] = {}
+    place: dict[str, int] = {}
+    for _, item, _ in counts:
+        place.setdefault(item, len(place))
+    rows = np.zeros((len(place), languages))
     for lang, item, n in counts:
-        totals[lang] += n
-        table.setdefault(item, np.zeros(languages))[lang] += n
-    floor = np.log(totals + len(table) + 1)
-    return {item: np.log(c + 1) - floor for item, c in table.items()}
+        rows[place[item], lang] += n
+    return list(place), np.log(rows + 1) - np.log(rows.sum(axis=0) + len(place) + 1)
 
 
 def fit(labelled: DataFrame, params: LangParams = LangParams()) -> LangModel:
@@ -100,7 +146,8 @@ def fit(labelled: DataFrame, params: LangParams = LangParams()) -> LangModel:
     languages = sorted(k for k, n in rows.items() if n >= params.min_rows)
     place = {k: i for i, k in enumerate(languages)}
     if not languages:
-        return LangModel([], {}, {}, np.zeros(0), params.longest)
+        nothing = LogTable.of([], 0)
+        return LangModel([], nothing, nothing, np.zeros(0), params.longest)
     # An even part of every language, so that a rare one is learnt as well.
     part = F.element_at(
         F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, params.sample / len(languages) / rows[k])))]),
@@ -110,26 +157,35 @@ def fit(labelled: DataFrame, params: LangParams = LangParams()) -> LangModel:
     sample = labelled.where(F.col("lang").isin(languages)).where(draw < part)
     longest = params.longest
 
+    def counts(lang: int, words: Counter) -> Iterator[pa.RecordBatch]:
+        grams: Counter = Counter()
+        for word, n in words.items():
+            for gram in _grams(word, longest):
+                grams[gram] += n
+        for size, items in ((0, words), (1, grams)):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(items), pa.int32()),
+                    pa.array([len(k) * size for k in items], pa.int32()),
+                    pa.array(list(items), pa.string()),
+                    pa.array(list(items.values()), pa.int64()),
+                ],
+                names=["lang", "size", "item", "n"],
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                found.setdefault(place[lang], Counter()).update(_words(text))
-        for lang, words in found.items():
-            grams: Counter = Counter()
-            for word, n in words.items():
-                for gram in _grams(word, longest):
-                    grams[gram] += n
-            for size, items in ((0, words), (1, grams)):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(items), pa.int32()),
-                        pa.array([len(k) * size for k in items], pa.int32()),
-                        pa.array(list(items), pa.string()),
-                        pa.array(list(items.values()), pa.int64()),
-                    ],
-                    names=["lang", "size", "item", "n"],
-                )
+                words = words_of(text)
+                for first in range(0, len(words), _AT_ONCE):
+                    held = found.setdefault(place[lang], Counter())
+                    held.update(words[first : first + _AT_ONCE])
+                    # A task holds the counts of a bounded number of words.
+                    if len(held) > _AT_ONCE:
+                        yield from counts(place[lang], found.pop(place[lang]))
+        for lang, held in found.items():
+            yield from counts(lang, held)
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang int, size int, item string, n long")
     sums = counted.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
@@ -138,37 +194,47 @@ def fit(labelled: DataFrame, params: LangParams = LangParams()) -> LangModel:
     by_size: dict[int, list] = {}
     for r in frequent.select("lang", "size", "item", "n").toLocalIterator():
         by_size.setdefault(r["size"], []).append((r["lang"], r["item"], r["n"]))
-    words = _log_table(by_size.pop(0, []), len(languages))
-    grams: dict[str, np.ndarray] = {}
-    for items in by_size.values():
-        grams |= _log_table(items, len(languages))
+    words = LogTable.of([_log_rows(by_size.pop(0, []), len(languages))], len(languages))
+    grams = LogTable.of([_log_rows(items, len(languages)) for items in by_size.values()], len(languages))
     prior = np.log(np.array([rows[k] for k in languages], float) / sum(rows[k] for k in languages))
     return LangModel(languages, words, grams, prior, params.longest)
 
 
-class Scores(dict):
-    """Numbers every word met and keeps its scores, a value per language, one after the other."""
+class Scores:
+    """The scores of the words a task has met last, ``_KNOWN`` of them at most."""
 
     def __init__(self, model: LangModel) -> None:
-        super().__init__()
-        self.model, self.flat = model, array("d")
+        self.model = model
+        self.forget()
 
-    def __missing__(self, word: str) -> int:
-        self.flat.extend(self.model.word_scores(word).tolist())
-        self[word] = place = len(self)
-        return place
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((_KNOWN, len(self.model.languages)))
 
     def total(self, words: list[str]) -> np.ndarray:
-        long = [w for w in words if len(w) > _CACHED]
-        words = [w for w in words if len(w) <= _CACHED] if long else words
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        known = np.frombuffer(self.flat).reshape(-1, len(self.model.languages))[places].sum(axis=0) if words else 0.0
-        return known + sum((self.model.word_scores(w) for w in long), np.zeros(len(self.model.languages)))
+        total = np.zeros(len(self.model.languages))
+        for first in range(0, len(words), _AT_ONCE):
+            part = words[first : first + _AT_ONCE]
+            short = [w for w in part if len(w) <= _CACHED]
+            for word in part if len(short) < len(part) else ():
+                if len(word) > _CACHED:
+                    total += self.model.word_scores([word])[0]
+            new = [w for w in dict.fromkeys(short) if w not in self.place]
+            if len(self.place) + len(new) > _KNOWN:
+                self.forget()
+                new = list(dict.fromkeys(short))
+            if new:
+                at = len(self.place)
+                self.rows[at : at + len(new)] = self.model.word_scores(new)
+                self.place.update(zip(new, range(at, at + len(new))))
+            places = np.fromiter(map(self.place.__getitem__, short), np.int64, len(short))
+            total += self.rows[places].sum(axis=0)
+        return total
 
 
 def predict_text(model: LangModel, text: str | None, scores: Scores | None = None) -> tuple[str, float]:
     """The language of one text and its share of the probability; ties go to the first name."""
-    words = _words(text)
+    words = words_of(text)
     if not words or not model.languages:
         return UNKNOWN, 0.0
     total = model.prior + (Scores(model) if scores is None else scores).total(words)
@@ -176,6 +242,9 @@ def predict_text(model: LangModel, text: str | None, scores: Scores | None = Non
     return model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+_FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+
 def predict(docs: DataFrame, model: LangModel) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only ``text`` is read. Columns of these names are replaced.
 
@@ -185,17 +254,13 @@ def predict(docs: DataFrame, model: LangModel) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "_lang")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-
-
-        known = shared.value
-        scores = Scores(known)
+    @F.arrow_udf("lang_pred string, score double")
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = Scores(shared.value)
         for texts in batches:
-            if len(scores) > _KNOWN:
-                scores = Scores(known)
-            made = [predict_text(known, t, scores) for t in texts]
-            yield pd.DataFrame(made, columns=["lang_pred", "score"])
+            # One text at a time is a Python string.
+            made = [predict_text(scores.model, t.as_py(), scores) for t in texts]
+            yield pa.array([{"lang_pred": lang, "score": score} for lang, score in made], _FOUND)
 
     rows = docs.select(*keep, guess("text").alias("_lang"))
     return rows.select(*keep, "_lang.lang_pred", "_lang.score")
