@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,7 @@ _ASCII_WORD, _WORD = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _PIECE = 24  # letters of a longer unseen word that weigh as one word
 _CACHED = 128  # letters of the longest word a task remembers
 _KNOWN = 40_000  # words a task remembers
+_TEXTS = 64  # texts whose words are looked up together
 _AT_ONCE = 20_000  # words or n-grams looked up, or words counted, at a time
 
 
@@ -89,26 +90,41 @@ class LangModel:
         known = rows >= 0
         scores = np.zeros((len(words), len(self.languages)))
         scores[known] = self.words.logs[rows[known]]
-        left = np.nonzero(~known)[0].tolist()
+        left = np.nonzero(~known)[0]
         for size in range(self.longest, 0, -1):
-            open_ = []
-            for i in left:
-                total, many = self._gram_sum(f"<{words[i]}>", size)
-                if many:
-                    scores[i] = total / many * max(1.0, len(words[i]) / _PIECE)
-                else:
-                    open_.append(i)
-            left = open_
+            if not len(left):
+                break
+            marked = [f"<{words[i]}>" for i in left.tolist()]
+            total, many = self._gram_sums(marked, size)
+            met = many > 0
+            weight = np.maximum(1.0, np.array([len(m) - 2 for m in marked]) / _PIECE)[met] / many[met]
+            scores[left[met]] = total[met] * weight[:, None]
+            left = left[~met]
         return scores
 
-    def _gram_sum(self, marked: str, size: int) -> tuple[np.ndarray, int]:
-        total, many = np.zeros(len(self.languages)), 0
-        for first in range(0, max(len(marked) - size + 1, 0), _AT_ONCE):
-            last = min(first + _AT_ONCE, len(marked) - size + 1)
-            rows = self.grams.find([marked[i : i + size] for i in range(first, last)])
-            rows = rows[rows >= 0]
-            total += self.grams.logs[rows].sum(axis=0, dtype=np.float64)
-            many += len(rows)
+    def _gram_sums(self, marked: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Summed logs and number of the known n-grams of each word, so many n-grams at a time."""
+        total, many = np.zeros((len(marked), len(self.languages))), np.zeros(len(marked), np.int64)
+        grams: list[str] = []
+        owners: list[int] = []
+
+        def add() -> None:
+            rows = self.grams.find(grams)
+            known = rows >= 0
+            owner = np.array(owners)[known]
+            np.add.at(total, owner, self.grams.logs[rows[known]])
+            np.add.at(many, owner, 1)
+
+        for i, word in enumerate(marked):
+            for first in range(0, max(len(word) - size + 1, 0), _AT_ONCE):
+                part = [word[j : j + size] for j in range(first, min(first + _AT_ONCE, len(word) - size + 1))]
+                grams += part
+                owners += [i] * len(part)
+                if len(grams) >= _AT_ONCE:
+                    add()
+                    grams, owners = [], []
+        if grams:
+            add()
         return total, many
 
 
@@ -215,33 +231,65 @@ class Scores:
         total = np.zeros(len(self.model.languages))
         for first in range(0, len(words), _AT_ONCE):
             part = words[first : first + _AT_ONCE]
-            short = [w for w in part if len(w) <= _CACHED]
-            for word in part if len(short) < len(part) else ():
-                if len(word) > _CACHED:
-                    total += self.model.word_scores([word])[0]
-            new = [w for w in dict.fromkeys(short) if w not in self.place]
-            if len(self.place) + len(new) > _KNOWN:
-                self.forget()
-                new = list(dict.fromkeys(short))
-            if new:
-                at = len(self.place)
-                self.rows[at : at + len(new)] = self.model.word_scores(new)
-                self.place.update(zip(new, range(at, at + len(new))))
-            places = np.fromiter(map(self.place.__getitem__, short), np.int64, len(short))
+            places = list(map(self.place.get, part))
+            if None in places:
+                part = self._learn(part, places, total)
+                places = list(map(self.place.__getitem__, part))
             total += self.rows[places].sum(axis=0)
         return total
 
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Look up the new words of several texts at once."""
+        new = {w for words in texts for w in words if w not in self.place and len(w) <= _CACHED}
+        if 0 < len(new) <= _AT_ONCE:
+            self._learn(list(new), [None] * len(new), None)
+
+    def _learn(self, words: list[str], places: list[int | None], total: np.ndarray | None) -> list[str]:
+        """Take up the words that are new; very long ones are scored at once and left out of those given back."""
+        new = list(dict.fromkeys(w for w, p in zip(words, places) if p is None))
+        if any(len(w) > _CACHED for w in new):
+            for word in words:
+                if len(word) > _CACHED:
+                    total += self.model.word_scores([word])[0]
+            words = [w for w in words if len(w) <= _CACHED]
+            new = [w for w in new if len(w) <= _CACHED]
+        if len(self.place) + len(new) > _KNOWN:
+            self.forget()
+            new = list(dict.fromkeys(words))
+        if new:
+            at = len(self.place)
+            self.rows[at : at + len(new)] = self.model.word_scores(new)
+            self.place.update(zip(new, range(at, at + len(new))))
+        return words
+
 
 def predict_text(model: LangModel, text: str | None, scores: Scores | None = None) -> tuple[str, float]:
     """The language of one text and its share of the probability; ties go to the first name."""
-    words = words_of(text)
+    return _predicted(words_of(text), Scores(model) if scores is None else scores)
+
+
+def _predicted(words: list[str], scores: Scores) -> tuple[str, float]:
+    model = scores.model
     if not words or not model.languages:
         return UNKNOWN, 0.0
-    total = model.prior + (Scores(model) if scores is None else scores).total(words)
+    total = model.prior + scores.total(words)
     best = int(np.argmax(total))
     return model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def predict_texts(texts: Iterable[str | None], scores: Scores) -> Iterator[tuple[str, float]]:
+    """``predict_text`` of each text, the words of a few looked up together."""
+    waiting: list[list[str]] = []
+    for text in texts:
+        waiting.append(words_of(text))
+        if len(waiting[-1]) >= _AT_ONCE or len(waiting) == _TEXTS:
+            scores.prepare(waiting)
+            yield from (_predicted(words, scores) for words in waiting)
+            waiting = []
+    scores.prepare(waiting)
+    yield from (_predicted(words, scores) for words in waiting)
+
+
 _FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -258,8 +306,7 @@ def predict(docs: DataFrame, model: LangModel) -> DataFrame:
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = Scores(shared.value)
         for texts in batches:
-            # One text at a time is a Python string.
-            made = [predict_text(scores.model, t.as_py(), scores) for t in texts]
+            made = predict_texts((t.as_py() for t in texts), scores)
             yield pa.array([{"lang_pred": lang, "score": score} for lang, score in made], _FOUND)
 
     rows = docs.select(*keep, guess("text").alias("_lang"))
