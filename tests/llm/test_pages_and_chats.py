@@ -192,3 +192,37 @@ def test_names_are_found_anywhere_in_attributes():
     for attrs in (f"style='{'x' * 5000}' class='sidebar'", f"class='{utility} sidebar'"):
         page = extract.parse_page(f"<body><div {attrs}>text</div></body>")
         assert "sidebar" in page.names[page.tag.index("div")]
+
+
+_TEXT = " ".join(["A sentence of the article that is long enough to read."] * 8)
+_MENU = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+_FOOT = "<footer>&copy; site, all rights reserved</footer>"
+_TITLE = "<h1>Title of it</h1>"
+WRITTEN = {
+    "one paragraph": (f"<html><head><title>x</title></head><body>{_MENU}<article><p>{_TEXT}</p></article>{_FOOT}</body></html>", [_TEXT]),
+    "one paragraph in a div": (f"<body>{_MENU}<div id=main><p>{_TEXT}</p></div>{_FOOT}</body>", [_TEXT]),
+    "nothing around it": (f"<body><p>{_TEXT}</p></body>", [_TEXT]),
+    "no markup": (_TEXT, [_TEXT]),
+    "head without an end": (f"<head><title>x</title><h1>Head line</h1><p>{_TEXT}</p>", ["Head line", _TEXT]),
+    "heading of one letter": (f"<body>{_MENU}<article><h1>A</h1><p>{_TEXT}</p><p>{_TEXT}</p></article>{_FOOT}</body>", ["A", _TEXT, _TEXT]),
+    "unclosed button": (f"<article>{_TITLE}<p>{_TEXT}</p><button><p>{_TEXT}</p><p>{_TEXT}</p></article>{_FOOT}", ["Title of it", _TEXT, _TEXT, _TEXT]),
+    "unclosed and closed button": (
+        f"<article>{_TITLE}<button><p>{_TEXT}</p><button>OK</button><p>{_TEXT}</p></article>{_FOOT}", ["Title of it", _TEXT, _TEXT],
+    ),
+    "unclosed object": (f"<article>{_TITLE}<object data=x><p>{_TEXT}</p><p>{_TEXT}</p></article>{_FOOT}", ["Title of it", _TEXT, _TEXT]),
+    "unclosed svg in an unclosed svg": (f"<article>{_TITLE}<svg><svg><p>{_TEXT}</p></article>{_FOOT}", ["Title of it", _TEXT]),
+    "svg in svg": (f"<article>{_TITLE}<p><svg><svg><text>no</text></svg>no</svg>{_TEXT}</p></article>{_FOOT}", ["Title of it", _TEXT]),
+    "end tag beyond the article": (f"<article>{_TITLE}<div><select><option>no</div><p>{_TEXT}</p></article></select>{_FOOT}", ["Title of it", _TEXT]),
+    "video with a fallback": (f"<article>{_TITLE}<video><p>no</p></video><p>{_TEXT}</p></article>{_FOOT}", ["Title of it", _TEXT]),
+    "responses of readers": (
+        f"<article>{_TITLE}<p>{_TEXT}</p></article><div class='user-responses'><p>Great post, thank you very much for it!</p></div>{_FOOT}",
+        ["Title of it", _TEXT],
+    ),
+    "very long": (f"<body>{_MENU}<article>{_TITLE}" + f"<p>{_TEXT}</p>" * 3_000 + f"</article>{_FOOT}</body>", ["Title of it", *[_TEXT] * 3_000]),
+}
+
+
+@pytest.mark.parametrize("name", WRITTEN)
+def test_written_pages(name):
+    source, blocks = WRITTEN[name]
+    assert extract.main_text(extract.built_in_model(), source) == "\n\n".join(blocks)

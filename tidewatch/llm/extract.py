@@ -41,11 +41,14 @@ BLOCKS = frozenset(
     " thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
+#: Their content is no text of the page. What a head holds is left out as such elements, so a head needs no end.
 SKIPPED = frozenset(
-    "script style noscript template head title iframe object svg math canvas audio video select textarea button".split()
+    "script style noscript template title iframe object svg math canvas audio video select textarea button".split()
 )
 _RAW = frozenset("script style noscript template title iframe textarea".split())
+# Of the others, those that may hold one of their own kind.
+_NESTED = frozenset("object svg math".split())
+_ANY_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*)[^>]*>")
 #: An opening tag closes these open elements, up to the nearest barrier.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -96,13 +99,47 @@ def _read_attributes(attrs: str) -> tuple[tuple[str, ...], bool]:
     return tuple(dict.fromkeys(names)), marked
 
 
+def _ends(source: str, tag: str) -> dict[int, int]:
+    """Where the content of each element of a skipped kind begins, and where the element ends.
+
+    An element without an end tag of its own is not among them: it ends where it begins.
+    """
+    found: dict[int, int] = {}
+    opened: list[int] = []
+    for token in re.compile(rf"<(/?){tag}(?![^\s/>])[^>]*>", re.IGNORECASE).finditer(source):
+        if token[1]:
+            if opened:
+                found[opened.pop()] = token.end()
+        elif not token[0].endswith("/>"):
+            if tag not in _NESTED:
+                opened.clear()
+            opened.append(token.end())
+    return found
+
+
+def _end_within(source: str, at: int, end: int, around: set[str]) -> int:
+    """The end of a skipped element, or the end tag of a block around it that comes first."""
+    within: list[str] = []
+    for token in _ANY_TAG.finditer(source, at, end):
+        name = token[2].lower()
+        if name in BLOCKS:
+            if not token[1]:
+                within.append(name)
+            elif name in within:
+                while within.pop() != name:
+                    pass
+            elif name in around:
+                return token.start()
+    return end
+
+
 def parse_page(source: str) -> Page:
     """The block tree of a page; unclosed, misplaced and unknown tags are put up with."""
     page = Page()
     stack = [(page.add(-1, "html", (), False), "html")]
     buffer: list[tuple[str, bool]] = []
     links = 0
-    skipping: list[str] = []
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         if buffer:
@@ -132,8 +169,7 @@ def parse_page(source: str) -> Page:
         at = match.end()
         text = match["text"] or match["cdata"]
         if text is not None:
-            if not skipping:
-                buffer.append((text, links > 0))
+            buffer.append((text, links > 0))
             continue
         tag = (match["tag"] or match["tag2"] or "").lower()
         if not tag:
@@ -144,16 +180,11 @@ def parse_page(source: str) -> Page:
                 found = re.compile(f"</{tag}[^>]*>?", re.IGNORECASE).search(source, at)
                 at = found.end() if found else end_of
                 buffer.append((" ", False))
-            elif ending:
-                if tag in skipping:
-                    while skipping.pop() != tag:
-                        pass
-            elif not (match["attrs"] or "").endswith("/"):
-                skipping.append(tag)
-            continue
-        if tag == "body" and "head" in skipping:
-            skipping.clear()  # the head was never closed
-        if skipping:
+            elif not ending and not (match["attrs"] or "").endswith("/"):
+                if tag not in ends:
+                    ends[tag] = _ends(source, tag)
+                if at in ends[tag]:
+                    at = _end_within(source, at, ends[tag][at], {name for _, name in stack[1:]})
             continue
         if tag == "a":
             links = max(0, links - 1) if ending else links + 1

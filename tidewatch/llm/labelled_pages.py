@@ -19,7 +19,7 @@ _NOTICE = "cookie consent notice alert gdpr privacy modal popup overlay warning
 _ADS = "ad ads advert advertisement sponsor sponsored promo promotion adsense banner commercial dfp".split()
 _FORM = "form login signup search newsletter register contact".split()
 _SHARE = "share social sharing follow buttons".split()
-_COMMENTS = "comment comments reply replies respond discussion disqus thread feedback commentlist".split()
+_COMMENTS = "comment comments reply replies respond response responses discussion disqus thread feedback commentlist".split()
 
 
 class _Maker:
@@ -87,8 +87,18 @@ class _Maker:
 
     def main(self) -> str:
         mark = ' data-content="1"'
-        blocks = [f"<h1{mark}>{self.words(2, 12)}</h1>"]
-        if self.r.random() < 0.2:
+        few = self.r.random()
+        if few < 0.12:
+            # Nothing but one block, without a heading and often without a name around it.
+            tag = self.r.choice(("p", "p", "p", "div"))
+            inner = f"<{tag}{mark}>{self.sentences(2, 12)}</{tag}>"
+            around = self.r.choice(("article", "main", "div", "section", "body"))
+            if around == "body":
+                return inner
+            return f"<{around}{self.r.choice(('', ' ' + self.name(_MAIN)))}>{inner}</{around}>"
+        heading = self.word()[0].upper() if few < 0.16 else self.words(1, 12)
+        blocks = [] if few > 0.92 else [f"<h1{mark}>{heading}</h1>"]
+        if blocks and self.r.random() < 0.2:
             blocks = [f"<header>{blocks[0]}</header>"]
         for _ in range(self.r.choice((1, 1, 2, 3, 5, 8, 12))):
             kind = self.r.random()
