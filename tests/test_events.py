@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from conftest import plan_of
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidewatch.operators import events
@@ -144,3 +145,10 @@ def test_event_dates_may_be_short_and_have_text_after_them(spark):
     lines = spark.createDataFrame([("2016-2-9",), (" 2016-02-10 Tuesday",), ("2016-02-111",), ("soon",)], "value string")
     found = calendar.event_times(lines).collect()
     assert sorted(str(r.event_date) for r in found) == ["2016-02-09", "2016-02-10"]
+
+
+def test_unreadable_event_dates_are_counted(spark):
+    lines = spark.createDataFrame([("2016-02-09",), ("2016-02-30",), ("soon",), ("",), (None,), ("2016-3-1 x",)], "value string")
+    dropped = Observation("dates")
+    assert calendar.event_times(lines, dropped=dropped).count() == 2
+    assert dropped.get == {"unreadable": 4}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,18 +28,24 @@ EVENT_DATES = """
 """.split()
 
 
-def event_times(dates: DataFrame, params: EventParams = EventParams()) -> DataFrame:
+def event_times(
+    dates: DataFrame, params: EventParams = EventParams(), dropped: Observation | None = None
+) -> DataFrame:
     """``(event_date, event_ts)`` from a text column ``value``; unreadable rows are left out.
 
     A row begins with year, month and day, the latter two with one or two digits; what follows is
     ignored.
 
     The filter on the text is also what lets Spark prune day folders of stored signals: it
-    does so only from a filtered side of a join.
+    does so only from a filtered side of a join. ``dropped`` reports, under the name ``unreadable``, how many rows
+    are left out because they begin with no date; blank ones count too.
     """
     begin = F.regexp_extract(F.trim("value"), r"^(\d{4}-\d{1,2}-\d{1,2})(?!\d)", 1)
     looks_right = F.trim("value").rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?!\d)")
     date = F.try_to_date(begin, "yyyy-M-d")
+    if dropped is not None:
+        readable = F.coalesce(looks_right, F.lit(False)) & date.isNotNull()
+        dates = dates.observe(dropped, F.count_if(~readable).alias("unreadable"))
     return (
         dates.where(looks_right)
         .select(date.alias("event_date"))
