@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewatch.llm import components, decontaminate, exact_dedup, lang_id, licenses, lm, mixing, near_dup, words
 from tidewatch.llm.queries import QUERIES
@@ -104,6 +106,37 @@ def test_exact_dedup_keeps_one_row_per_text(spark, odd):
     )
 
 
+def test_exact_dedup_keeps_columns_that_clash(spark, odd):
+    clashing = odd.selectExpr("*", "doc_id AS _sha", "'x' AS __id", "1 AS _copies", "2 AS _last", "3 AS keep_id", "4 AS run")
+    kept = exact_dedup.deduplicate(clashing)
+    assert kept.columns == clashing.columns
+    assert {r.doc_id: r._sha for r in kept.collect()} == {1: 1, 3: 3, 5: 5, 6: 6, 7: 7}
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_runs_are_merged_in_order(spark, keep):
+    rows = [(i if i % 11 else None, f"text {i % 37 if i % 3 else 0}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    entries = exact_dedup.digest_entries(docs, 64)
+    levels = exact_dedup.merge_tree(entries, keep, 64, 4)
+    assert [level.select("run").distinct().count() for level in levels][1:] == [16, 4, 1]
+    best = {}
+    for i, text in rows:
+        if i is not None:
+            best[text] = (max if keep == "largest" else min)(best.get(text, i), i)
+    for level in levels:
+        # Every written run is sorted and has an entry once; no row is lost on the way.
+        parts = level.select(F.input_file_name().alias("file"), "run", "digest", "group_size").collect()
+        for _, part in itertools.groupby(parts, key=lambda r: r.file):
+            keys = [(r.run, bytes(r.digest)) for r in part]
+            assert keys == sorted(set(keys))
+        assert sum(r.group_size for r in parts) == len(rows)
+    top = {r.digest.hex(): r.keep_id for r in levels[-1].collect()}
+    assert top == {hashlib.sha256(t.encode()).hexdigest(): i for t, i in best.items()}
+    # The order of a merge is needed by what follows, so no rule takes the sort away.
+    assert "Sort [run" in exact_dedup.merged(levels[0], keep)._jdf.queryExecution().executedPlan().toString()
+
+
 # Near duplicates -------------------------------------------------------------------------------
 
 
@@ -191,6 +224,9 @@ def test_reparameterised_questions(spark, text, hit, verbatim):
 LONG = " ".join(f"{a}{b}" for a in "kalo mire sunt dova peli rano tiku vesa".split() for b in "abcdefghijklmnopqrstuvwxy")
 
 
+LONG_TAIL = "walks past the old mill and the wide river until the road ends near a small white house"
+
+
 @pytest.mark.parametrize(
     "item, text",
     [
@@ -205,6 +241,57 @@ def test_leaks_with_shifts_and_passages(spark, item, text):
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()] == [(1, 7)]
 
 
+QUESTION = (
+    "{a} has {n} apples in the basket. {a} buys {m} more apples at the market. {b} gives {k} apples to a friend"
+    " and keeps the rest for lunch. How many apples do the two of them have now?"
+)
+
+
+@pytest.mark.parametrize(
+    "item, text, hit",
+    [
+        (QUESTION.format(a="Tom", b="Mia", n=5, m=3, k=2), QUESTION.format(a="Sara", b="Liam", n=8, m=14, k=6), True),
+        (QUESTION.format(a="Tom", b="Mia", n=5, m=3, k=2), QUESTION.format(a="Sara", b="Liam", n="eight", m="four", k="six"), True),
+        # One name of the item is two in the document.
+        (QUESTION.format(a="Tom", b="Tom", n=5, m=3, k=2), QUESTION.format(a="Sara", b="Liam", n=5, m=3, k=2), False),
+        # Two values of the item become one.
+        (ITEM.replace("platform 9", "platform 70"), ITEM.replace("at 9", "at 60").replace("platform 9", "platform 60"), True),
+        # The name stands inside a sentence in the document only.
+        (f"Tom {LONG_TAIL}", f"In spring Sara {LONG_TAIL}", True),
+    ],
+)
+def test_names_at_the_start_of_sentences_and_values_that_coincide(spark, item, text, hit):
+    docs = spark.createDataFrame([(1, f"Some words first. {text} And more after it."), (2, "Tom has a basket. Mia has none.")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()] == ([(1, 7)] if hit else [])
+
+
+def test_questions_with_values_drawn_anew(spark):
+    """Every name and number replaced at random: each question is found, and only with its own item."""
+    draw = random.Random(4)
+    names = "Tom Mia Sara Liam Olga Ravi Ines Noah Yuki Omar".split()
+    texts, forms = [], []
+    for i in range(12):
+        nouns = ["".join(draw.choice("bdfgklmnprstv") + draw.choice("aeiou") for _ in range(3)) for _ in range(14)]
+        forms.append(
+            "{a} counts {n} " + " ".join(nouns[:5]) + ". {b} counts {m} " + " ".join(nouns[5:10]) + " with {a}. {a} then has {k} "
+            + " ".join(nouns[10:])
+        )
+    fill = lambda f: f.format(**dict(zip("ab", draw.sample(names, 2))), **{k: draw.randint(2, 999) for k in "nmk"})
+    items = spark.createDataFrame([(i, fill(f)) for i, f in enumerate(forms)], "item_id long, text string")
+    texts = [(100 * i + j, f"Here it is. {fill(f)} and so on.") for i, f in enumerate(forms) for j in range(5)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(d, d // 100) for d, _ in texts}
+
+
+def test_very_short_items_drop_no_document(spark):
+    docs = spark.createDataFrame([(1, "The answer is yes and then it ends"), (2, "no")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "yes"), (8, "")], "item_id long, text string")
+    assert [(r.doc_id, r.item_tokens) for r in decontaminate.leaks(docs, items).collect()] == [(1, 1)]
+    assert decontaminate.decontaminate(docs, items).count() == 2
+
+
 def test_leaks_of_short_items_and_of_items_poor_in_words(spark):
     numbers = "12 kg 7 m 3 cm 45 s 9 km 61 g 5 ml 8 mm 2 km 77 percent"
     items = spark.createDataFrame([(1, "What is the capital of France?"), (2, numbers)], "item_id long, text string")
