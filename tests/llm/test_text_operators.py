@@ -385,6 +385,47 @@ def test_mix(spark, documents):
     assert all(abs(taken[s] - target[s]) <= 32 for s in names)
 
 
+@pytest.mark.parametrize("many", [1, 2, 3, 97, 1000, 1024, 4095, 32768])
+def test_permuted_numbers_are_a_bijection(spark, many):
+    rows = spark.range(many).selectExpr(f"{mixing.permuted('id', f'{many}L', mixing.block_step(f'{many}L'), '5L')} AS p").collect()
+    assert sorted(r.p for r in rows) == list(range(many))
+    if many > 50:
+        assert all(abs(a.p - b.p) > many / 5 for a, b in itertools.pairwise(rows))
+
+
+@pytest.mark.parametrize("block, blocks", [(32, 1 << 14), (8, 1 << 14), (8, 300)])
+def test_blocks_are_disjoint_and_permuted(spark, documents, block, blocks):
+    """Every taken word against a mix drawn block by block from the written order of each source."""
+    params = mixing.MixParams(block=block, blocks=blocks)
+    frame = mixing.measured(table(spark, FOLDER, "documents"), ["doc_id"])
+    rows = mixing.mix(frame.withColumn("source", F.col("_source")), params).collect()
+    order = {r.doc_id: r.o for r in frame.select("doc_id", F.xxhash64(F.lit(params.seed), "_id").alias("o")).collect()}
+    size = max(block, math.ceil(sum(r.size for r in rows) / blocks))
+    per_shard = Counter()
+    for name in {r.source for r in rows}:
+        own = sorted((r for r in rows if r.source == name), key=lambda r: (order[r.doc_id] % mixing.BUCKETS, order[r.doc_id]))
+        held, at = {}, 0  # the shard of every taken word of the repeated stream
+        for r in own:
+            for p in r.pieces:
+                lo = p.copy * own[0].source_size + at + p.start
+                for word in range(lo, lo + p.words):
+                    assert word not in held
+                    held[word] = p.shard
+            assert r.taken == sum(p.words for p in r.pieces)
+            at += r.size
+        # Whole blocks, each in one shard; as many as the quota.
+        of_block = {}
+        for word, shard in held.items():
+            of_block.setdefault(word // size, []).append(shard)
+        assert all(len(x) == size and len(set(x)) == 1 for x in of_block.values())
+        assert len(of_block) == min(round(own[0].target / size), own[0].source_size * 2 // size)
+        for shards in of_block.values():
+            per_shard[shards[0]] += 1
+        follow = [b for b in of_block if b + 1 in of_block and of_block[b][0] == of_block[b + 1][0]]
+        assert len(of_block) < 50 or len(follow) < len(of_block) / 3
+    assert max(per_shard.values()) - min(per_shard.values()) <= params.levels
+
+
 def test_splitting_tree_deals_quotas_exactly_and_like_a_draw(spark):
     quotas = [0, 1, 7, 400, 3000]
     frame = spark.createDataFrame(list(enumerate(quotas, 1)), "place int, quota long")

@@ -1,12 +1,15 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-The documents of a source, in a fixed random order, are one stream of words, cut into blocks of
-``block`` words; a source's quota is the whole number of blocks nearest its target. The root of
+The documents of a source, in a fixed random order, are one stream of words, repeated as often as a word
+may be taken, and cut into blocks of equal size; a source's quota is the whole number of blocks
+nearest its target. The root of
 the tree holds all quotas. Each node deals its blocks to two halves: how many blocks of each
 source fall to the left half is drawn from the multivariate hypergeometric distribution, one
 source after the other, by exact inversion around the mode. At the leaves every output shard has
-a number of blocks per source, which add up to the quotas exactly; the shards take disjoint
-ranges of the source's blocks, and each shuffles its own rows.
+a number of blocks per source, which add up to the quotas exactly. The blocks of a source are permuted by
+a seeded bijection of their numbers; the shards take disjoint ranges of the permuted numbers, those beyond the
+quota are left out, and each shard shuffles its own rows. A block is at least ``block`` words and at
+least one part in ``blocks`` of all words, so that documents are cut at few places of a large corpus.
 
 The order of a source is never sorted in one task: documents fall into ``BUCKETS`` hash
 buckets per source, running sums are taken within a bucket, and only the sums of the buckets are
@@ -35,6 +38,7 @@ class MixParams:
     share: float = 1.5
     most: int = 2
     block: int = 32
+    blocks: int = 1 << 14
     levels: int = 4  # 2 ** levels shards
     seed: int = 7
 
@@ -80,6 +84,22 @@ def source_targets(totals: DataFrame, params: MixParams) -> DataFrame:
     return levels.withColumn("target", F.least(cap, level * F.col("weight"))).drop("_level")
 
 
+# Primes above any number of blocks of a source, so prime to it.
+_PRIMES = (15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823, 141650939, 160481183, 179424673, 982451653)
+
+
+def block_step(many: str) -> str:
+    """SQL for the prime modulo ``many`` that is nearest the golden section of it: neighbours then lie far apart."""
+    listed = ", ".join(f"{p}L" for p in _PRIMES)
+    least = f"greatest({many}, 1L)"
+    return f"array_min(transform(array({listed}), p -> named_struct('off', abs(p % {least} / {least} - 0.618D), 'step', p % {least}))).step"
+
+
+def permuted(number: str, many: str, step: str, shift: str) -> str:
+    """SQL for a bijection of the numbers below ``many``, for a ``step`` prime to it."""
+    return f"(({number} * {step} + {shift}) % {many})"
+
+
 def _hypergeometric(total: str, good: str, draws: str, uniform: str) -> str:
     """SQL for a draw by inversion: how many of ``draws`` from ``total`` are among the ``good``.
 
@@ -159,48 +179,57 @@ def mix(rows: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """Each row of ``measured`` with ``size, source_size, target, taken, pieces``.
 
     ``pieces`` lists what the shards take of the document: ``shard, copy, start, words``; a
-    document may be in several shards or twice in the mix. ``taken`` adds up the words. Rows
-    that repeat each other count each on their own; a null text has size 0 and is never taken.
+    document may be in several shards or twice in the mix, a long one in many pieces. ``taken`` adds up the words. Rows
+    that repeat each other count each on their own; a null text has size 0 and is never taken. Rows
+    without doc_id are put in order by their texts.
     ``rows`` is read twice, once for the sums of the buckets.
     """
-    order = F.xxhash64(F.lit(params.seed), "_id")
+    if params.most * params.blocks >= _PRIMES[0]:
+        raise ValueError(f"most * blocks must be below {_PRIMES[0]}")
+    order = F.xxhash64(F.lit(params.seed), "_id", F.when(F.col("_id").isNull(), F.col("_tie")))
     rows = rows.withColumn("_order", order).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(BUCKETS)).cast("int"))
     buckets = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("words"))
     along = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("_source", "_bucket", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("_start"), "words")
     totals = buckets.groupBy("_source").agg(F.sum("words").alias("source_size"))
     sources = source_targets(totals, params)
-    blocks = F.round(F.col("target") / params.block).cast("long")
-    quota = F.least(blocks, F.floor(F.col("source_size") * params.most / params.block).cast("long"))
+    everything = F.sum("source_size").over(Window.partitionBy())
+    sources = sources.withColumn("_block", F.greatest(F.lit(params.block), F.ceil(everything / params.blocks)).cast("long"))
+    sources = sources.withColumn("_many", F.floor(F.col("source_size") * params.most / F.col("_block")).cast("long"))
+    quota = F.least(F.round(F.col("target") / F.col("_block")).cast("long"), "_many")
+    sources = sources.withColumn("_shift", F.pmod(F.xxhash64(F.lit(params.seed), "_source"), F.greatest("_many", F.lit(1))))
+    sources = sources.withColumn("_step", F.expr(block_step("_many")))
     shares = split_quotas(sources.select("place", quota.alias("quota")), params)
     shares = shares.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("shard", "blocks"))).alias("_shares"))
-    # The first word and the first word after of every shard's range in the source's stream.
-    ends = F.expr(
-        f"transform(_shares, (s, i) -> named_struct('lo', {params.block} * aggregate(slice(_shares, 1, i), 0L, (a, x) -> a + x.blocks),"
-        f" 'hi', {params.block} * aggregate(slice(_shares, 1, i + 1), 0L, (a, x) -> a + x.blocks)))"
-    )
-    plan = sources.join(shares, "place").select("_source", "source_size", "target", ends.alias("_ranges"))
+    # The first permuted number after those of each shard.
+    ends = F.expr("transform(_shares, (s, i) -> aggregate(slice(_shares, 1, i + 1), 0L, (a, x) -> a + x.blocks))")
+    plan = sources.join(shares, "place").select("_source", "source_size", "target", "_block", "_many", "_step", "_shift", ends.alias("_ends"))
     plan = buckets.drop("words").join(plan, "_source")
     running = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id", "_size", "_tie")
     running = running.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(running), F.lit(0)))
     joined = rows.join(plan, ["_source", "_bucket"]).withColumn("_from", F.col("_before") + F.col("_start"))
-    first = "greatest(r.lo, c * source_size + _from)"
+    # The blocks that each copy of a document reaches into, and what of it lies in them.
+    begin = "(c * source_size + _from)"
+    reached = f"if(_size > 0, sequence({begin} div _block, ({begin} + _size - 1) div _block), cast(array() as array<bigint>))"
+    start = f"greatest(k * _block, {begin})"
+    shard = f"size(filter(_ends, e -> e <= {permuted('k', '_many', '_step', '_shift')}))"
+    piece = f"'shard', {shard}, 'copy', c, 'start', {start} - {begin}, 'words', least((k + 1) * _block, {begin} + _size) - {start}"
+    whole = f"filter({reached}, k -> k < _many)"  # the stream's last block may not be whole
     pieces = F.expr(
-        f"filter(flatten(transform(sequence(0, {params.most - 1}), c -> transform(_ranges, (r, j) -> named_struct("
-        f"'shard', j, 'copy', c, 'start', {first} - c * source_size - _from,"
-        f" 'words', least(r.hi, c * source_size + _from + _size) - {first})))), x -> x.words > 0)"
+        f"filter(flatten(transform(sequence(0, {params.most - 1}), c -> transform({whole}, k -> named_struct({piece})))),"
+        " x -> x.shard < size(_ends))"
     )
     found = joined.withColumn("pieces", pieces)
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    made = ["_source", "_bucket", "_start", "_ranges", "_order", "_before", "_from", "_tie", "_id", "_size"]
+    made = ["_source", "_bucket", "_start", "_ends", "_block", "_many", "_step", "_shift", "_order", "_before", "_from", "_tie", "_id", "_size"]
     return found.withColumn("size", F.col("_size")).withColumn("taken", taken).drop(*made)
 
 
 def mixed_rows(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mix itself: a row per piece with the columns of ``docs``, ``shard`` and ``copy``, dealt out by shard
-    and shuffled within it. The text of a piece that is only part of its document (at most two
-    per source and shard) is cut to its words, joined by blanks. Columns of ``docs`` that clash with
+    and shuffled within it. The text of a piece that is only part of its document (where a block begins
+    or ends in it) is cut to its words, joined by blanks. Columns of ``docs`` that clash with
     the new ones, or begin with an underscore, are replaced by them."""
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "pieces", "shard", "copy")]
     found = mix(measured(docs, keep), params)
@@ -218,5 +247,5 @@ def mixed_rows(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     if "n_chars" in keep:
         out[keep.index("n_chars")] = F.length(text).cast("long").alias("n_chars")
     rows = rows.select(*out, F.col("_p.shard").alias("shard"), F.col("_p.copy").alias("copy"))
-    mixed = F.xxhash64(F.lit(params.seed + 1), "doc_id", "copy")
+    mixed = F.xxhash64(F.lit(params.seed + 1), "doc_id", "copy", "text")
     return rows.repartition("shard", F.pmod(mixed, F.lit(64))).sortWithinPartitions("shard", mixed)
