@@ -189,6 +189,29 @@ def test_near_duplicates_of_odd_rows(odd):
     assert {r.doc_id for r in near_dup.deduplicate(odd).collect()} == {1, 2, 3, None, 5, 6, 7}
 
 
+def test_pairs_just_below_the_threshold_meet_once(spark):
+    """Many texts near one base and not linked to each other: rounds of many hubs, and batches that cut keys."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(240):
+        text = list(base)
+        for at in rng.choice(len(text), 1 + d % 9, replace=False):
+            text[at] = f"x{rng.integers(10**6)}"
+        rows.append((d, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    params = near_dup.NearParams(85)
+    found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame, params).collect()}
+    assert found == brute_components(rows, 85)
+    made = near_dup.signatures(frame, params).withColumnRenamed("doc_id", "node")
+    keys = near_dup.chunk_keys(made, params).toPandas()
+    signed = {r.node: np.array(r.signature, np.int64).view(np.uint64) for r in made.collect()}
+    both = keys.merge(keys, on="key").query("node_x < node_y")
+    x, y = (np.stack([signed[n] for n in both[c]]) for c in ("node_x", "node_y"))
+    first = both[near_dup._in_first_key(x, y, both["key"].to_numpy(), params)]
+    assert len(first) == len(both[["node_x", "node_y"]].drop_duplicates()) == len(first[["node_x", "node_y"]].drop_duplicates())
+
+
 def test_errors_allowed_in_a_chunk_cover_the_distance():
     for percent in (80, 85, 90):
         p = near_dup.NearParams(percent)

@@ -14,6 +14,8 @@ other components, and confirmed links merge components. A hub then leaves the ke
 done when one component is left in it. Hubs are the members that meet most others, of the components
 smallest in the key first; so a large group of near copies needs about as many comparisons
 as it has members, and a few strangers among them cost one round.
+Beyond the first round, a pair that shares several keys counts under the first of them only, which both signatures tell;
+so a key is done when its own pairs are, and the pairs of a group of alike texts are spread over its keys.
 Of the pairs that meet, those whose sketches (``sketch`` further MinHash values of one bit, with a like
 bound on the differing ones) agree are compared on the full shingle sets; every link is confirmed so.
 """
@@ -37,7 +39,9 @@ from tidewatch.plans.staging import staged
 MISS = 1e-5
 _CELLS = 1 << 15
 _LANES, _WIDTH = 3, 21  # positions to a long, and the bits each has there
-_MORE_HUBS = 8
+_PLACES = 64  # the low bits of a key tell the place that it leaves out
+_MORE_HUBS, _MOST_HUBS = 8, 4096  # hubs of a key in a round, which a task holds; what is left takes more rounds
+_PAIRS = 1 << 16  # compared at once
 
 
 @dataclass(frozen=True)
@@ -46,7 +50,7 @@ class NearParams:
 
     percent: int = 80
     shingle: int = 5
-    positions: int = 63  # a multiple of _LANES
+    positions: int = 63  # a multiple of _LANES, at most _PLACES
     sketch: int = 1024  # a multiple of 64
 
     @property
@@ -142,7 +146,10 @@ def signatures(docs: DataFrame, params: NearParams) -> DataFrame:
 
 
 def chunk_keys(classes: DataFrame, params: NearParams) -> DataFrame:
-    """``key, node``: every chunk of a signature with each place of one allowed error left out."""
+    """``key, node``: every chunk of a signature with each place of one allowed error left out.
+
+    ``key % _PLACES`` is the place.
+    """
     positions, chunks = params.positions, params.chunks
     factors = constants(positions, 5)
 
@@ -156,13 +163,80 @@ def chunk_keys(classes: DataFrame, params: NearParams) -> DataFrame:
             for chunk in chunks:
                 whole = terms[:, chunk].sum(axis=1, dtype=np.uint64)
                 for place in chunk:
-                    keys[:, place] = mix(whole - terms[:, place] + factors[place])
+                    keys[:, place] = mix(whole - terms[:, place] + factors[place]) & ~np.uint64(_PLACES - 1) | np.uint64(place)
             nodes = np.repeat(batch.column("node").to_numpy(), positions)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
     return classes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
+def _in_first_key(a: np.ndarray, b: np.ndarray, keys: np.ndarray, params: NearParams) -> np.ndarray:
+    """Whether each key is the first that the signatures of its pair share.
+
+    That is the place of the error in the first chunk with at most one, or the chunk's first place.
+    """
+    starts = np.array([chunk[0] for chunk in params.chunks])
+    errors = np.zeros((len(a), len(starts)), np.int64)
+    for lane in range(_LANES):  # the positions of a lane are every third one
+        mask = np.uint64(0xFFFF << (_WIDTH * lane))
+        differs = (a ^ b) & mask != 0
+        for c, chunk in enumerate(params.chunks):
+            errors[:, c] += differs[:, [at // _LANES for at in chunk if at % _LANES == lane]].sum(axis=1)
+    first = np.argmax(errors <= 1, axis=1)
+    slot = (keys & np.int64(_PLACES - 1)).astype(np.int64)
+    inside = np.searchsorted(starts, slot, "right") - 1 == first
+    return inside & ((errors[np.arange(len(a)), first] == 1) | (slot == starts[first]))
+
+
+def _met(rows: DataFrame, hubs: int, params: NearParams) -> DataFrame:
+    """The pairs ``a, b`` of a hub and a later member of its key, of different components, whose sketches agree.
+
+    The rows of a key follow each other in one task, which holds a batch and the hubs of one key.
+    Beyond one hub a key, a pair counts under its first key only.
+    """
+    fields = ["key", "node", "n_shingles", "root", "place", "signature", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, w) if w else 0, np.int64) for w in (0, 0, 0, 0, 0, params.positions // _LANES, params.sketch // 64)]
+        for batch in batches:
+            columns = [batch.column(c) for c in fields]
+            flat = [c.to_numpy() for c in columns[:5]] + [c.flatten().to_numpy().reshape(len(c), -1) for c in columns[5:]]
+            if not batch.num_rows:
+                continue
+            old = len(held[0])
+            if old and held[0][0] != flat[0][0]:
+                held, old = [h[:0] for h in held], 0
+            flat = [np.concatenate([h, f]) for h, f in zip(held, flat)]
+            key, node, size, root, place, signature, sketch = flat
+            signature, sketch = signature.view(np.uint64), sketch.view(np.uint64)
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            start = np.flatnonzero(new)[np.cumsum(new) - 1]
+            many = np.minimum(place - 1, hubs).astype(np.int64)
+            many[:old] = 0  # met among themselves before
+            ends = np.cumsum(many)
+            lo = 0
+            while lo < len(key):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - many[lo] + _PAIRS, "right")))
+                b = np.repeat(np.arange(lo, hi), many[lo:hi])
+                a = start[b] + np.arange(len(b)) - np.repeat(ends[lo:hi] - many[lo:hi] - (ends[lo] - many[lo]), many[lo:hi])
+                lo = hi
+                x, y = size[a], size[b]
+                good = (root[a] != root[b]) & (100 * np.minimum(x, y) >= params.percent * np.maximum(x, y))
+                a, b = a[good], b[good]
+                good = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= params.sketch_distance
+                a, b = a[good], b[good]
+                if hubs > 1:  # a single hub meets each member once, which links most of a group at once
+                    good = _in_first_key(signature[a], signature[b], key[b], params)
+                    a, b = a[good], b[good]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            last = slice(start[-1], min(len(key), start[-1] + hubs))
+            held = [f[last].copy() for f in flat]
+
+    sorted_rows = rows.select(fields).repartition("key").sortWithinPartitions("key", "place")
+    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
 
@@ -258,9 +332,7 @@ def _roots(docs: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame
     weights = members.groupBy("node").agg(F.sum(F.col("count") - 1).alias("weight"))
     met = staged(classes.join(weights, "node"), "met")
     sets = staged(_full_sets(docs, met.select("node", "doc_id", "digest"), params), "sets")
-    bits = [f"bits_{i}" for i in range(params.sketch // 64)]
-    sketches = sets.select("node", *[F.col("sketch")[i].alias(c) for i, c in enumerate(bits)])
-    known = met.select("node", "n_shingles", "weight").join(sketches, "node")
+    known = met.select("node", "n_shingles", "weight", "signature").join(sets.select("node", "sketch"), "node")
     members = members.select("key", "node").join(known, "node")
 
     of_key = Window.partitionBy("key")
@@ -278,23 +350,15 @@ def _roots(docs: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame
         rows = staged(rows, "members")
         if rows.isEmpty():
             return roots
-        hubs = rows.where(F.col("place") <= hubs_of_key)
-        hubs = hubs.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n_shingles", "root", "place", *bits)])
-        later = F.col("place") > F.col("place_a")
-        sizes = 100 * F.least("n_shingles", "n_shingles_a") >= params.percent * F.greatest("n_shingles", "n_shingles_a")
-        differing = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in bits]
-        near = sum(differing[1:], differing[0]) <= params.sketch_distance
-        apart = F.col("root") != F.col("root_a")
-        pairs = rows.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & later & apart & sizes & near)
-        close = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+        close = _met(rows, hubs_of_key, params)
         for side in ("a", "b"):
             close = close.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         links = staged(_confirmed(close, params.percent), "links")
         if not links.isEmpty():
             roots = _merged(roots, links)
-        # The hubs have met all others of their keys.
+        # The hubs have met all others of their keys that they have to meet there.
         members = rows.where(F.col("place") > hubs_of_key).drop("root", "place")
-        hubs_of_key *= _MORE_HUBS
+        hubs_of_key = min(hubs_of_key * _MORE_HUBS, _MOST_HUBS)
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
