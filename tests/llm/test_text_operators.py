@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
 import math
 import random
 import re
+import threading
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -554,6 +557,84 @@ def test_lm_of_nothing(spark, odd):
     assert all(r.score == 0 and r.n_known == 0 for r in lm.score(docs, model, counts).collect())
 
 
+def test_lm_shuffles_a_few_bytes_a_token(spark):
+    """A row of each n-gram with its parts, and of each n-gram of a text, made 53 bytes a token; packed questions make 12."""
+    folder = FOLDER.replace("0.001", "0.01")
+    seen, ended = {}, threading.Event()
+    roots = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def look():
+        for path in itertools.chain.from_iterable(Path(r).rglob("shuffle_*.data") for r in roots):
+            with contextlib.suppress(OSError):
+                seen[path.name] = max(seen.get(path.name, 0), path.stat().st_size)
+
+    def watch():  # Spark removes the files of a query at its end
+        while not ended.wait(0.02):
+            look()
+
+    look()
+    before = dict(seen)
+    watching = threading.Thread(target=watch)
+    watching.start()
+    rows = QUERIES["op9_lm_scores"](spark, folder).agg(F.sum("n_tokens"), F.sum("score")).first()
+    ended.set()
+    watching.join()
+    assert sum(n for name, n in seen.items() if name not in before) < 30 * rows[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**64 - 1)), max_size=50), max_size=4))
+def test_packed_arrays(arrays):
+    arrays = [np.array(a, np.uint64) for a in arrays]
+    assert [a.tolist() for a in lm.unpack(lm.pack(arrays))] == [a.tolist() for a in arrays]
+
+
+@pytest.mark.parametrize("spread", [[1], [1, 7, 5, 3, 2]])
+def test_every_ngram_is_asked_for_once(spread):
+    rng = np.random.default_rng(5)
+    codes = np.array([0, *range(1, 40), 1 << 40, (1 << 64) - 1], np.uint64)
+    sizes = rng.integers(1, 60, 80)
+    ids = np.minimum(rng.geometric(0.15, sizes.sum()), len(codes) - 1)
+    ids[np.cumsum(sizes) - 1] = 0
+    chunk = lm.Chunk.read(lm.Chunk(codes, ids, sizes, np.ones(80, bool)).packed())
+    places = [tuple(codes[i] for i in row) for row in np.split(ids, np.cumsum(sizes)[:-1])]
+    slots_of: dict = {}
+    for size, grams in enumerate(chunk.grams(3), 1):
+        expected = Counter(row[i : i + size] for row in places for i in range(len(row) - size + 1))
+        many = np.bincount(grams.number, minlength=len(grams.columns[0]))
+        found: Counter = Counter()
+        for slot, numbers in enumerate(grams.dealt(11, np.array(spread, np.uint64))):
+            question = lm.unpack(lm.pack(grams.question(numbers, [many])))
+            for gram, n in zip(zip(*lm.columns_of(question[:-1])), question[-1]):
+                found[gram] += int(n)
+                slots_of.setdefault(gram[:-1], set()).add(slot)
+        assert found == expected
+    # What goes on from a context stays together, but for that of frequent tokens only.
+    alone = [len(x) for context, x in slots_of.items() if context and any(c >= len(spread) for c in context)]
+    assert max(alone) == 1
+    assert (len(slots_of[(1,)]) > 1) == (len(spread) > 1)
+
+
+@pytest.mark.parametrize("order, least", [(3, 2), (3, 1), (2, 2), (1, 2)])
+def test_lm_in_one_go_over_many_slots(spark, monkeypatch, order, least):
+    """Rows of one table, some of which train, with repeated rows and null ids."""
+    monkeypatch.setattr(lm, "_SLOT", 60)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("a b c d e f gg hh ii".split()) for _ in range(rng.randrange(40))) for _ in range(60)]
+    rows = [(i if i % 7 else None, i % 3 > 0 if i % 10 else None, t) for i, t in enumerate([*texts, *texts[:5], None])]
+    frame = spark.createDataFrame(rows, "doc_id long, training boolean, text string").repartition(5)
+    params = lm.LmParams(order=order, min_count=least)
+    found = lm.fit_and_score(frame, F.col("training"), params)
+    assert found.columns == ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    model, table_ = lm.fit(frame.where("training"), params)
+    apart = lm.score(frame, model, table_)
+    key = lambda r: tuple((x is None, x or 0) for x in r[:5]) + tuple(round(x, 6) for x in r[5:])
+    assert sorted(map(key, found.collect())) == sorted(map(key, apart.collect()))
+    if (order, least) == (3, 2):
+        expected = brute_scores([t or "" for _, b, t in rows if b], [t or "" for _, _, t in rows], 2, 0.75)
+        assert sorted(r.score for r in found.collect()) == pytest.approx(sorted(expected), rel=1e-9, abs=1e-9)
+
+
 def test_language_id(spark, documents):
     rows = QUERIES["op10_language_id"](spark, FOLDER).collect()
     lang = {d.doc_id: d.lang for d in documents}
